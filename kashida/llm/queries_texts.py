@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import copies, neardup, terms
+from . import copies, history, neardup, terms
 from .frames import bodies, table
 
 
@@ -59,3 +59,9 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
 def p5_ngrams(spark: SparkSession, d: str) -> DataFrame:
     """Terms of one and two words of the texts."""
     return terms.term_counts(table(spark, d, "texts"), "text_urdu", most=2).where("n > 0")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Items that bring nothing new: three-word sequences and a likeness of 0.6, as TESTDATA.md states."""
+    status, _, _ = history.new_items(table(spark, d, "bulk_preview"), _bodies(spark, d), table(spark, d, "verses"), n=3, threshold=0.6)
+    return status.where("status = 'case'").select(F.col("id").alias("item_id"))
