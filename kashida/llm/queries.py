@@ -8,9 +8,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_texts
+from . import queries_documents, queries_texts
 
-_MODULES = (queries_texts,)
+_MODULES = (queries_texts, queries_documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
