@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leaks
+from . import leaks, quality
 from .frames import table
 
 
@@ -17,3 +17,11 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     """Where each leaked item lies in its document, and the share of the item that is there."""
     found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return found.withColumn("share", F.round((F.col("end") - F.col("begin")) / F.col("item_words"), 6))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_types(table(spark, d, "documents"), table(spark, d, "common_words")).where("junk > 0.5").select("doc_id")
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_types(table(spark, d, "documents"), table(spark, d, "common_words"))
