@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leaks, quality
+from . import leaks, mixing, quality
 from .frames import table
 
 
@@ -25,3 +25,13 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_types(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mix with their numbers of copies."""
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached, by source."""
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
