@@ -8,9 +8,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_documents, queries_texts
+from . import queries_documents, queries_texts, queries_vectors
 
-_MODULES = (queries_texts, queries_documents)
+_MODULES = (queries_texts, queries_documents, queries_vectors)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
