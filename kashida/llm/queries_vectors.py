@@ -1,11 +1,11 @@
-"""Queries on vectors (problem 6)."""
+"""Queries on vectors and names (problems 6 and 7)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neighbours
+from . import names, neighbours
 from .frames import table
 
 
@@ -16,3 +16,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest(neighbours.usable(table(spark, d, "ghazal_embeddings"), 384), k=5).withColumnRenamed("id", "text_id")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.pairs(names.entities(table(spark, d, "contributors")))
+
+
+def p7_entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.entities(table(spark, d, "contributors")).withColumnRenamed("id", "contributor_id")
