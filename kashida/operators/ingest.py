@@ -44,9 +44,9 @@ def new_rows(items: DataFrame, texts: DataFrame, text: str, key: str, form: str
     """(texts, verses) rows of accepted items (poet_id, contributor_id and the text): ids follow the greatest one; the public id is derived
     from the content, so a repeated run gives the same rows."""
     start = texts.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    t = number(items, start, [key])
-    rows = t.select("id", F.substring(F.sha2(F.col(text), 256), 1, 8).alias("public_id"), "poet_id", "contributor_id", F.substring(F.get(lines(F.col(text)), F.lit(0)), 1, 100).alias("title_urdu"), F.col(text).alias("text_urdu"), F.lit(form).alias("form"), F.ceil(F.size(lines(F.col(text))) / 2).cast("int").alias("verse_count"), F.col("content_md5").alias("content_hash"), F.col("couplet_md5").alias("first_couplet_hash"), letters(F.col(text)).alias("normalized_text"), F.lit(False).alias("nlp_processed"))
-    v = t.select(F.col("id").alias("text_id"), F.explode(couplets(lines(F.col(text)))).alias("c")).select("text_id", F.col("c.couplet_index").alias("couplet_index"), F.col("c.m1").alias("misra1_urdu"), F.col("c.m2").alias("misra2_urdu"))
+    t = number(items, start, [key]).withColumn("_lines", lines(F.col(text)))
+    rows = t.select("id", F.substring(F.sha2(F.col(text), 256), 1, 8).alias("public_id"), "poet_id", "contributor_id", F.substring(F.get("_lines", F.lit(0)), 1, 100).alias("title_urdu"), F.col(text).alias("text_urdu"), F.lit(form).alias("form"), F.ceil(F.size("_lines") / 2).cast("int").alias("verse_count"), F.col("content_md5").alias("content_hash"), F.col("couplet_md5").alias("first_couplet_hash"), letters(F.col(text)).alias("normalized_text"), F.lit(False).alias("nlp_processed"))
+    v = t.select(F.col("id").alias("text_id"), F.explode(couplets(F.col("_lines"))).alias("c")).select("text_id", F.col("c.couplet_index").alias("couplet_index"), F.col("c.m1").alias("misra1_urdu"), F.col("c.m2").alias("misra2_urdu"))
     return rows, v
 
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -72,13 +77,37 @@ def poet_by_neighbours(v: DataFrame, texts: DataFrame, poets: DataFrame, feature
     return top.join(two, "poet_id")
 
 
-def centroids(v: DataFrame, key: str) -> DataFrame:
-    """(key, centroid): the mean of the vectors of each key. Sums of whole vectors are combined before the shuffle, so a key with a third of
-    all vectors sends one sum from each task."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
+def centroids(v: DataFrame, key: str, width: int = WIDTH, held: int = 20_000) -> DataFrame:
+    """(key, centroid): the mean of the vectors (key, v) of each key.
+
+    Every task adds whole vectors up by key, `held` keys at a time, so a key with a third of all vectors sends one sum from each task;
+    only these sums are taken apart to be added and put together again. Null keys are left out.
+    """
+    rows = v.where(F.col(key).isNotNull() & F.col("v").isNotNull()).select(F.col(key).cast("long").alias("key"), "v")
+
+    def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        count: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_pydict({"key": list(sums), "n": [count[k] for k in sums], "s": list(sums.values())}, schema=pa.schema([("key", pa.int64()), ("n", pa.int64()), ("s", pa.list_(pa.float64()))]))
+            sums.clear()
+            count.clear()
+            return out
+
+        for b in it:
+            keys, lists = b.column("key").to_numpy(), b.column("v")
+            for i, k in enumerate(keys.tolist()):
+                x = lists[i].values.to_numpy(zero_copy_only=False)
+                sums[k] = sums[k] + x if k in sums else x.astype(float)
+                count[k] += 1
+            if len(sums) > held:
+                yield flush()
+        yield flush()
 
-    return v.where(F.col(key).isNotNull()).select(key, array_to_vector("v").alias("x")).groupBy(key).agg(Summarizer.mean(F.col("x")).alias("m")).select(key, vector_to_array("m").alias("centroid"))
+    parts = rows.mapInArrow(add, "key long, n long, s array<double>").select("key", "n", F.posexplode("s").alias("place", "x"))
+    each = parts.groupBy("key", "place").agg((F.sum("x") / F.sum("n")).alias("x"))
+    return each.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda y: y["x"]).alias("centroid")).select(F.col("key").alias(key), "centroid")
 
 
 def fingerprints(v: DataFrame, texts: DataFrame, features: DataFrame, n: int = 5) -> DataFrame:
@@ -92,12 +121,43 @@ def fingerprints(v: DataFrame, texts: DataFrame, features: DataFrame, n: int = 5
     return mean.join(top, "poet_id", "left").join(metre, "poet_id", "left")
 
 
-def by_fingerprint(v: DataFrame, features: DataFrame, prints: DataFrame, n: int = 3) -> DataFrame:
-    """The n poets whose fingerprints are nearest to each text (text_id, v). Poets are few beside texts, and are joined to all of them."""
-    w = fixed.FINGERPRINT
-    t = v.withColumn("m", norm(F.col("v"))).join(features.select("text_id", "radif"), "text_id", "left")
-    p = prints.select("poet_id", "centroid", norm(F.col("centroid")).alias("cm"), F.transform(F.coalesce("common_radif", F.array().cast("array<struct<radif:string,n:bigint>>")), lambda x: x["radif"]).alias("radifs"))
-    c = cosine(F.col("v"), F.col("centroid"), F.col("m"), F.col("cm"))
-    match: Column = F.coalesce(F.array_contains("radifs", F.col("radif")), F.lit(False)).cast("double")
-    scored = t.crossJoin(p).select("text_id", "poet_id", F.round(w["embedding"] * c + w["radif"] * match + w["vocabulary"] * 0.5, 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("text_id").orderBy(F.desc("score"), "poet_id"))).where(F.col("rank") <= n)
+def by_fingerprint(v: DataFrame, features: DataFrame, prints: DataFrame, n: int = 3, block: int = 4096) -> DataFrame:
+    """The n poets whose fingerprints are nearest to each text (text_id, v).
+
+    Poets are taken in blocks of `block`, of which one at a time is sent to all tasks; texts are held against a block by one matrix
+    product a batch, and only the best n of each block go on.
+    """
+    t = v.join(features.select("text_id", "radif"), "text_id", "left").select("text_id", "v", "radif")
+    p = prints.select("poet_id", "centroid", F.transform(F.coalesce("common_radif", F.array().cast("array<struct<radif:string,n:bigint>>")), lambda x: x["radif"]).alias("radifs")).persist()
+    blocks = max(1, -(-p.count() // block))
+    w, out = fixed.FINGERPRINT, None
+    for k in range(blocks):
+        part = p.where(F.pmod(F.xxhash64("poet_id"), F.lit(blocks)) == k).orderBy("poet_id").collect()  # a block of poets
+        if not part:
+            continue
+        shared = v.sparkSession.sparkContext.broadcast(([r.poet_id for r in part], np.array([r.centroid for r in part]), [frozenset(r.radifs) for r in part]))
+
+        def of(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            poets, c, known = shared.value
+            by: dict[str, list[int]] = {}
+            for i, rs in enumerate(known):
+                for r in rs:
+                    by.setdefault(r, []).append(i)
+            m, ids = np.sqrt((c * c).sum(1)), np.array(poets)
+            for b in it:
+                if not b.num_rows:
+                    continue
+                x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                s = w["embedding"] * (x @ c.T / (np.sqrt((x * x).sum(1))[:, None] * m + 1e-8)) + w["vocabulary"] * 0.5
+                for i, r in enumerate(b.column("radif").to_pylist()):
+                    if r in by:
+                        s[i, by[r]] += w["radif"]
+                s = np.round(s, 6)
+                top = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :n]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("text_id").to_numpy(), top.shape[1])), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel())], names=["text_id", "poet_id", "score"])
+
+        found = t.mapInArrow(of, "text_id long, poet_id long, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = v.select("text_id", F.lit(None).cast("long").alias("poet_id"), F.lit(0.0).alias("score")).limit(0)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("text_id").orderBy(F.desc("score"), "poet_id"))).where(F.col("rank") <= n)

@@ -34,7 +34,8 @@ def each_batch(stream: DataFrame, store: Callable[[DataFrame, DataFrame, int], N
     def run(items: DataFrame, number: int) -> None:
         items = items.persist()
         try:
-            v = items.select(F.col("content_md5").alias("text_id"), F.explode(couplets(lines(F.col("text")))).alias("c")).select("text_id", F.col("c.couplet_index").alias("couplet_index"), F.col("c.m1").alias("misra1_urdu"), F.col("c.m2").alias("misra2_urdu"))
+            rows = items.select(F.col("content_md5").alias("text_id"), lines(F.col("text")).alias("l"))
+            v = rows.select("text_id", F.explode(couplets(F.col("l"))).alias("c")).select("text_id", F.col("c.couplet_index").alias("couplet_index"), F.col("c.m1").alias("misra1_urdu"), F.col("c.m2").alias("misra2_urdu"))
             store(items, refrains(seconds(v)).join(metres(v), "text_id"), number)
         finally:
             items.unpersist()
