@@ -114,7 +114,7 @@ def new_items(items: DataFrame, history: DataFrame, verses: DataFrame, n: int =
     chunks: the table kept from earlier batches; without one it is made from history.
     """
     spark = items.sparkSession
-    old = distinct_texts(cut(read_words(history, n)))
+    old = distinct_texts(cut(read_words(history, n)), n)
     if chunks is None:
         giants = old.giants.select("id", "words")
         chunks = ChunkTable(spark, shared_folder(spark, f"chunks-{uuid.uuid4().hex}")).append(old.reps.where("words IS NOT NULL").select("id", "words").unionByName(giants))

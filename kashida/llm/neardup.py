@@ -53,16 +53,18 @@ class Texts:
     giants: DataFrame
 
 
-def distinct_texts(rows: DataFrame, coordinates: int = 0) -> Texts:
-    """Collapses equal word sequences. rows: as of read_words, computed once (see cut). A text in several pieces stays as it is."""
+def distinct_texts(rows: DataFrame, n: int, coordinates: int = 0) -> Texts:
+    """Collapses equal word sequences. rows: as of read_words, computed once (see cut). A text in several pieces stays as it is; its
+    n-word sequences are counted row by row, since pieces share some."""
     one = rows.where(~F.col("part"))
     # copies of a third of all rows are one row a task before the shuffle
     reps = one.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("words").alias("words"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
     giants = rows.where("part")
     sig = F.array(*(F.min(F.col("sig")[i]) for i in range(coordinates))) if coordinates else F.lit(None).cast("array<bigint>")
-    huge = giants.groupBy("id").agg(F.sum("n").cast("int").alias("n"), sig.alias("sig")).select(F.lit(None).cast("binary").alias("digest"), "id", "n", F.lit(None).cast("string").alias("words"), "sig", F.lit(1).cast("long").alias("copies"))
+    size = exploded(giants, True, n).groupBy("id").agg(F.count("*").cast("int").alias("n"))
+    huge = giants.groupBy("id").agg(sig.alias("sig")).join(size, "id").select(F.lit(None).cast("binary").alias("digest"), "id", "n", F.lit(None).cast("string").alias("words"), "sig", F.lit(1).cast("long").alias("copies"))
     reps = cut(reps.unionByName(huge))
-    members = one.select("digest", "id").join(reps.where("copies > 1").select("digest", F.col("id").alias("rep")), "digest").select("rep", "id")
+    members = one.select("digest", "id").join(reps.where("copies > 1").select("digest", F.col("id").alias("rep")), "digest").select("rep", "id").distinct()
     return Texts(reps.drop("digest"), members, giants.select("id", "piece", "words"))
 
 
@@ -149,7 +151,7 @@ def near_duplicates(pieces: DataFrame, n: int = 5, threshold: float = 0.8, coord
     likeness 0.6 agrees on 12 of 20 coordinates on average; fewer than 3 agree once in 200,000 pairs. Signatures decide which pairs
     are held against each other, the words decide the result. Empty tables give empty results.
     """
-    texts = distinct_texts(cut(read_words(pieces, n, coordinates)), coordinates)
+    texts = distinct_texts(cut(read_words(pieces, n, coordinates)), n, coordinates)
     reps = texts.reps
     pairs = cut(candidates(reps, threshold, coordinates, matches))
     sig = reps.select("id", "sig")

@@ -52,7 +52,7 @@ class Batch:
         at = np.arange(total) - self.start[doc]
         s = np.full(total, n, dtype=_U)
         for k in range(n):
-            s = mix(s * _U(0x9E3779B97F4A7C15) + np.concatenate([self.h[k:], np.zeros(k, _U)]))
+            s = mix(s * _U(0x9E3779B97F4A7C15) + np.concatenate([self.h[k:], np.zeros(min(k, total), _U)]))
         ok = (at + n <= self.full[doc]) & (at < self.own[doc])
         short = np.flatnonzero((self.full < n) & (self.own > 0))
         doc, s = doc[ok], s[ok]

@@ -54,6 +54,7 @@ class Transducer:
                 raise ValueError(f"two outputs for {key!r}: {self.map[key]!r} and {out!r}")
         self._single = {ord(k): v for k, v in self.map.items() if len(k) == 1}
         self._long = {k: v for k, v in self.map.items() if len(k) > 1}
+        self._ascii = any(k.isascii() for k in self.map)
         ends = sorted({k[1] for k in self._long})
         # a cluster: a character and the marks after it; only clusters can be longer keys
         self._cluster = re.compile("[^" + "".join(ends) + "][" + "".join(ends) + "]+") if ends else None
@@ -70,7 +71,7 @@ class Transducer:
         return s
 
     def __call__(self, text: str) -> str:
-        if text.isascii():
+        if not self._ascii and text.isascii():
             return text
         if self._cluster is not None:
             text = self._cluster.sub(self._one, text)
