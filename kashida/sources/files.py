@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +14,13 @@ from ..functions.text import strip
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): each file whole, as UTF-8; bytes that are none are dropped."""
-    bad = F.decode(F.col("content"), "UTF-8")
-    return spark.read.format("binaryFile").load(path).select("path", F.replace(bad, F.lit("�"), F.lit("")).alias("text"))
+
+    def of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            text = [x.decode("utf-8", "ignore") for x in b.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(text, pa.string())], names=["path", "text"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(of, "path string, text string")
 
 
 def blocks(text: Column, blank_lines: bool = False) -> Column:
