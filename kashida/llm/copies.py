@@ -65,7 +65,11 @@ def keys(pieces: DataFrame, labels: frozenset[str] = LABELS) -> DataFrame:
 
 
 def whole(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per id from rows per piece: a text in several pieces gets, in each column, the hash of its pieces' digests in order."""
+    """One row per id from rows per piece: a text in several pieces gets, in each column, the hash of its pieces' digests in order.
+
+    The rows are stored first, since both kinds of texts, and then the range sample and the sort, read them.
+    """
+    rows = cut(rows)
     one = rows.where(~F.col("part")).select("id", *columns)
     of = rows.where("part").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("piece", *columns))).alias("v"))
     return one.unionByName(of.select("id", *(F.concat(F.lit("\x00"), F.sha2(F.concat_ws(",", F.col(f"v.{c}")), 256)).alias(c) for c in columns)))
@@ -119,7 +123,7 @@ def copies(pieces: DataFrame, labels: frozenset[str] = LABELS) -> DataFrame:
 
 def representatives(pieces: DataFrame, labels: frozenset[str] = LABELS) -> DataFrame:
     """(id, copies): each text once, with the number of texts that equal it up to formatting, itself included."""
-    k = cut(keys(pieces, labels))
+    k = keys(pieces, labels)
     more = cut(runs(k))
     n = more.groupBy(F.col("group_id").alias("id")).agg(F.count("*").alias("more"))
     return k.select("id").join(more.select("id"), "id", "left_anti").join(n, "id", "left").select("id", (F.coalesce("more", F.lit(0)) + 1).cast("long").alias("copies"))
@@ -142,7 +146,7 @@ def look_alikes(pieces: DataFrame) -> DataFrame:
                         o.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.string()))], names=["id", "piece", "part", "look", "bare"])
 
-    rows = cut(whole(pieces.mapInArrow(of, "id long, piece int, part boolean, look string, bare string"), ["look", "bare"]))
+    rows = whole(pieces.mapInArrow(of, "id long, piece int, part boolean, look string, bare string"), ["look", "bare"])
     mixed = rows.groupBy("look").agg(F.min("bare").alias("lo"), F.max("bare").alias("hi")).where("lo <> hi").select("look")
     rows = cut(rows.join(mixed, "look", "left_semi"))
     a, b = rows.select("look", F.col("bare").alias("bare_a"), F.col("id").alias("id_a")), rows.select("look", F.col("bare").alias("bare_b"), F.col("id").alias("id_b"))
