@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_documents, queries_texts, queries_vectors
+from . import queries_documents, queries_texts, queries_vectors, sql
 
 _MODULES = (queries_texts, queries_documents, queries_vectors)
 
@@ -19,4 +19,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.SQL)
