@@ -62,4 +62,11 @@ SELECT field_name, term, 'rare' AS mark FROM c WHERE held <= 2 UNION ALL SELECT
 u AS (SELECT text_id AS id, e::DOUBLE[] AS v FROM l WHERE len(e) = 384 AND len([x for x in e if x IS NOT NULL AND isfinite(x)]) = 384 AND len([x for x in e if x <> 0]) > 0), m AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS s FROM u),
 k AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(list_dot_product(a.v, b.v) / (a.s * b.s), 6) DESC, b.id) <= 5)
 SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM k""",
+    # a stretch from one equal word to another may take in changed words at its ends, as far as nine in ten stay equal
+    "p8_found": f"""WITH {MAPS}, d AS (SELECT doc_id, regexp_extract_all(lower({_fold('text')}), {WORDS}) AS w FROM documents, full_map), i AS (SELECT item_id, regexp_extract_all(lower({_fold('text')}), {WORDS}) AS w FROM eval_items, full_map),
+dp AS (SELECT doc_id, len(w) AS nd, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS p FROM d), ip AS (SELECT item_id, len(w) AS n, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS p FROM i),
+g AS (SELECT doc_id, item_id, dp.p - ip.p AS shift, any_value(nd) AS nd, any_value(n) AS n, list(ip.p) AS ps FROM dp JOIN ip USING (w) GROUP BY ALL HAVING 20 * count(*) >= 9 * any_value(n)),
+m AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY p) AS k FROM (SELECT doc_id, item_id, shift, nd, n, unnest(ps) AS p FROM g)),
+r AS (SELECT a.doc_id, a.item_id, a.n, b.p - a.p + 1 AS span, least(least(a.n, a.nd - a.shift) - greatest(1, 1 - a.shift) + 1, 10 * (b.k - a.k + 1) // 9) AS most FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND a.shift = b.shift AND a.p <= b.p)
+SELECT DISTINCT doc_id, item_id FROM r WHERE most >= span AND 2 * most >= n""",
 }
