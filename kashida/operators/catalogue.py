@@ -65,11 +65,20 @@ def sample_couplets(poets: DataFrame, texts: DataFrame, verses: DataFrame, form:
     return poets.select("id", "name").join(low, F.col("id") == F.col("poet_id"), "left").select("id", "name", F.coalesce(F.when(F.col("v").isNotNull(), verse_text(F.col("v.misra1_urdu"), F.col("v.misra2_urdu"))), F.lit(fixed.NO_COUPLET)).alias("couplet"))
 
 
-def navigation(texts: DataFrame, form: str = "ghazal") -> DataFrame:
-    """Of every text the previous and next one of its poet by id, and how many the poet has."""
-    w = Window.partitionBy("poet_id")
-    t = texts.where(F.col("form") == form).select("id", "poet_id")
-    return t.select("id", "poet_id", F.lag("id").over(w.orderBy("id")).alias("previous_id"), F.lead("id").over(w.orderBy("id")).alias("next_id"), F.count("*").over(w).alias("total"))
+def navigation(texts: DataFrame, form: str = "ghazal", width: int = 65_536) -> DataFrame:
+    """Of every text the previous and next one of its poet by id, and how many the poet has.
+
+    Neighbours are looked up within ranges of `width` ids, so a poet with a third of all texts is spread over many tasks; only the ends
+    of the ranges, one row each, are then put in order within a poet.
+    """
+    t = texts.where(F.col("form") == form).select("id", "poet_id", F.floor(F.col("id") / width).alias("_r"))
+    poet = Window.partitionBy("poet_id")
+    ends = t.groupBy("poet_id", "_r").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
+    ends = ends.select("poet_id", "_r", F.lag("hi").over(poet.orderBy("_r")).alias("before"), F.lead("lo").over(poet.orderBy("_r")).alias("after"), F.sum("n").over(poet).alias("total"))
+    near = Window.partitionBy("poet_id", "_r").orderBy("id")
+    e = ends.select(F.col("poet_id").alias("_p"), F.col("_r").alias("_e"), "before", "after", "total")
+    j = t.withColumn("a", F.lag("id").over(near)).withColumn("b", F.lead("id").over(near)).join(e, F.col("poet_id").eqNullSafe(F.col("_p")) & (F.col("_r") == F.col("_e")))
+    return j.select("id", "poet_id", F.coalesce("a", "before").alias("previous_id"), F.coalesce("b", "after").alias("next_id"), "total")
 
 
 def first_and_last(verses: DataFrame) -> DataFrame:

@@ -77,6 +77,11 @@ def test_navigation(spark):
     assert rows(catalogue.navigation(t).where("id = 8")) == []
 
 
+def test_navigation_over_ranges(spark):
+    t = spark.createDataFrame([(i, i % 3 or None, "ghazal") for i in range(1, 60)], "id long, poet_id long, form string")
+    assert rows(catalogue.navigation(t, width=7)) == rows(catalogue.navigation(t))
+
+
 def test_refrains(spark):
     v = verses(spark, (1, 1, "a", "x کیوں"), (1, 2, "b", "y ستائے کیوں"), (1, 3, "c", ""), (1, 4, "d", None), (2, 1, "m n", "a b"), (2, 2, "e", "c d"))
     s = verse.seconds(v)
