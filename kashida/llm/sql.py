@@ -41,27 +41,32 @@ def _tokens(text: str) -> str:
 _FIELD = f"contains(x, ':') AND list_contains({_list(sorted(LABELS))}, lower(trim(split_part(x, ':', 1))))"
 _HEAD = f"(l NOT SIMILAR TO '[{BLANK}]*' AND len([x for x in string_split(l, '|') if NOT ({_FIELD})]) > 0)"
 
-SQL = {
-    "p2_found": rf"""WITH {BODIES}, s AS (SELECT id, body, string_split_regex(body, '\r\n|\n|\r') AS ln FROM bodies WHERE regexp_matches(body, '\p{{L}}')),
+_KEYS = rf"""WITH {BODIES}, s AS (SELECT id, body, string_split_regex(body, '\r\n|\n|\r') AS ln FROM bodies WHERE regexp_matches(body, '\p{{L}}')),
 h AS (SELECT id, body, ln, coalesce(list_position([{_HEAD} for l in ln], true), len(ln) + 1) AS p FROM s),
 f AS (SELECT id, body, list_sort(flatten([[{_tokens('x')} for x in string_split(l, '|')] for l in ln[1:p - 1] if l SIMILAR TO '.*[^{BLANK}].*'])) AS fields, array_to_string(ln[p:], chr(10)) AS rest FROM h),
-c AS (SELECT id, array_to_string(fields, chr(30)) || chr(30) || CASE WHEN len(fields) > 0 THEN {_tokens('rest')} ELSE {_tokens('body')} END AS k FROM f), g AS (SELECT id, min(id) OVER (PARTITION BY k) AS group_id FROM c)
-SELECT group_id, id AS text_id FROM g WHERE id <> group_id""",
+c AS (SELECT id, array_to_string(fields, chr(30)) || chr(30) || CASE WHEN len(fields) > 0 THEN {_tokens('rest')} ELSE {_tokens('body')} END AS k FROM f)"""
+_TERMS = f"""WITH {MAPS}, t AS (SELECT id, regexp_extract_all(lower({_fold('text_urdu')}), {WORDS}) AS w FROM texts, full_map WHERE text_urdu IS NOT NULL),
+r AS (SELECT text_id, radif FROM poetic_features QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY created_at DESC NULLS LAST, radif DESC NULLS LAST) = 1), rw AS (SELECT text_id, array_to_string(regexp_extract_all(lower({_fold('radif')}), {WORDS}), ' ') AS term FROM r, full_map WHERE radif IS NOT NULL),
+x AS (SELECT 'text_urdu' AS field_name, id, unnest(w) AS term, 0.2 AS share FROM t UNION ALL SELECT 'radif', text_id, term, 0.02 FROM rw WHERE term <> ''),
+n AS (SELECT field_name, count(DISTINCT id) AS total FROM x GROUP BY ALL), c AS (SELECT field_name, term, share, count(*) AS occurrences, count(DISTINCT id) AS held FROM x GROUP BY ALL)"""
+_NEAR = """WITH l AS (SELECT text_id, embedding_vector AS e FROM ghazal_embeddings QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY updated_at DESC NULLS LAST, embedding_vector DESC NULLS LAST) = 1),
+u AS (SELECT text_id AS id, e::DOUBLE[] AS v FROM l WHERE len(e) = 384 AND len([x for x in e if x IS NOT NULL AND isfinite(x)]) = 384 AND len([x for x in e if x <> 0]) > 0), m AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS s FROM u),
+p AS (SELECT a.id AS a, b.id AS b, round(list_dot_product(a.v, b.v) / (a.s * b.s), 6) AS cosine FROM m a JOIN m b ON a.id <> b.id), k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS rank FROM p QUALIFY rank <= 5)"""
+
+SQL = {
+    "p2_found": f"{_KEYS}, g AS (SELECT id, min(id) OVER (PARTITION BY k) AS group_id FROM c) SELECT group_id, id AS text_id FROM g WHERE id <> group_id",
+    "p2_copies": f"{_KEYS} SELECT min(id) AS text_id, count(*) AS copies FROM c GROUP BY k",
+    "p3_verses": f"WITH {MAPS} SELECT text_id, couplet_index, {_fold('misra1_urdu')} AS misra1_urdu, {_fold('misra2_urdu')} AS misra2_urdu FROM verses, full_map",
+    "p5_counts": f"{_TERMS} SELECT field_name, term, occurrences, held AS records, concat_ws(',', CASE WHEN held <= 2 THEN 'rare' END, CASE WHEN held >= share * total THEN 'common' END) AS marks FROM c JOIN n USING (field_name)",
+    "p6_neighbours": f"{_NEAR} SELECT a AS text_id, b AS neighbour, cosine, rank FROM k",
     "p3_found": rf"""WITH {MAPS}, {BODIES}, f AS (SELECT id, {_fold('body')} AS look, {_mapped('body', 'bare_map')} AS bare FROM bodies, full_map, bare_map WHERE regexp_matches(body, '\p{{L}}'))
 SELECT a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.look = b.look AND a.id < b.id AND a.bare <> b.bare""",
     "p4_found": f"""WITH {MAPS}, {BODIES}, w AS (SELECT id, regexp_extract_all(lower({_fold('body')}), {WORDS}) AS w FROM bodies, full_map),
 s AS (SELECT id, list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)] END) AS g FROM w WHERE len(w) > 0),
 x AS (SELECT id, len(g) AS n, unnest(g) AS g FROM s), c AS (SELECT a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
 SELECT id_a, id_b FROM c WHERE c / (na + nb - c) >= 0.6""",
-    "p5_found": f"""WITH {MAPS}, t AS (SELECT id, regexp_extract_all(lower({_fold('text_urdu')}), {WORDS}) AS w FROM texts, full_map WHERE text_urdu IS NOT NULL),
-r AS (SELECT text_id, radif FROM poetic_features QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY created_at DESC NULLS LAST, radif DESC NULLS LAST) = 1), rw AS (SELECT text_id, array_to_string(regexp_extract_all(lower({_fold('radif')}), {WORDS}), ' ') AS term FROM r, full_map WHERE radif IS NOT NULL),
-x AS (SELECT 'text_urdu' AS field_name, id, unnest(list_distinct(w)) AS term, 0.2 AS share FROM t WHERE len(w) > 0 UNION ALL SELECT 'radif', text_id, term, 0.02 FROM rw WHERE term <> ''),
-n AS (SELECT field_name, count(DISTINCT id) AS total FROM x GROUP BY ALL), c AS (SELECT field_name, term, share, count(*) AS held FROM x GROUP BY ALL)
-SELECT field_name, term, 'rare' AS mark FROM c WHERE held <= 2 UNION ALL SELECT field_name, term, 'common' FROM c JOIN n USING (field_name) WHERE held >= share * total""",
-    "p6_found": """WITH l AS (SELECT text_id, embedding_vector AS e FROM ghazal_embeddings QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY updated_at DESC NULLS LAST, embedding_vector DESC NULLS LAST) = 1),
-u AS (SELECT text_id AS id, e::DOUBLE[] AS v FROM l WHERE len(e) = 384 AND len([x for x in e if x IS NOT NULL AND isfinite(x)]) = 384 AND len([x for x in e if x <> 0]) > 0), m AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS s FROM u),
-k AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(list_dot_product(a.v, b.v) / (a.s * b.s), 6) DESC, b.id) <= 5)
-SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM k""",
+    "p5_found": f"{_TERMS} SELECT field_name, term, 'rare' AS mark FROM c WHERE held <= 2 UNION ALL SELECT field_name, term, 'common' FROM c JOIN n USING (field_name) WHERE held >= share * total",
+    "p6_found": f"{_NEAR} SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM k",
     # a stretch from one equal word to another may take in changed words at its ends, as far as nine in ten stay equal
     "p8_found": f"""WITH {MAPS}, d AS (SELECT doc_id, regexp_extract_all(lower({_fold('text')}), {WORDS}) AS w FROM documents, full_map), i AS (SELECT item_id, regexp_extract_all(lower({_fold('text')}), {WORDS}) AS w FROM eval_items, full_map),
 dp AS (SELECT doc_id, len(w) AS nd, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS p FROM d), ip AS (SELECT item_id, len(w) AS n, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS p FROM i),
