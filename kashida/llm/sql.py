@@ -53,7 +53,23 @@ _NEAR = """WITH l AS (SELECT text_id, embedding_vector AS e FROM ghazal_embeddin
 u AS (SELECT text_id AS id, e::DOUBLE[] AS v FROM l WHERE len(e) = 384 AND len([x for x in e if x IS NOT NULL AND isfinite(x)]) = 384 AND len([x for x in e if x <> 0]) > 0), m AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS s FROM u),
 p AS (SELECT a.id AS a, b.id AS b, round(list_dot_product(a.v, b.v) / (a.s * b.s), 6) AS cosine FROM m a JOIN m b ON a.id <> b.id), k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS rank FROM p QUALIFY rank <= 5)"""
 
+_GRAMS = "list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)] END)"
+_LINES = f"array_to_string([l for l in string_split_regex(f, '\\r\\n|\\n|\\r') if l NOT SIMILAR TO '[{BLANK}]*'][1:2], chr(10))"
+# items are decided one by one, in a list of those accepted so far
+_ITEMS = f"""WITH RECURSIVE {MAPS}, {BODIES}, one AS (SELECT item_id AS id, full_text AS f, coalesce(full_text, normalized_text) AS t FROM bulk_preview QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY arrived_at NULLS LAST, full_text) = 1),
+iw AS (SELECT id, regexp_extract_all(lower({_fold('t')}), {WORDS}) AS w, array_to_string(regexp_extract_all(lower({_fold(_LINES)}), {WORDS}), ' ') AS c FROM one, full_map), bw AS (SELECT id, regexp_extract_all(lower({_fold('body')}), {WORDS}) AS w FROM bodies, full_map),
+ig AS (SELECT id, {_GRAMS} AS g FROM iw WHERE len(w) > 0), bg AS (SELECT id, {_GRAMS} AS g FROM bw WHERE len(w) > 0), ix AS (SELECT id, len(g) AS n, unnest(g) AS g FROM ig), bx AS (SELECT id, len(g) AS n, unnest(g) AS g FROM bg),
+old AS (SELECT ix.id FROM ix JOIN bx USING (g) GROUP BY ix.id, bx.id HAVING count(*) / (any_value(ix.n) + any_value(bx.n) - count(*)) >= 0.6),
+cw AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower({_fold("concat_ws(chr(10), misra1_urdu, misra2_urdu)")}), {WORDS}), ' ') AS c FROM verses, full_map WHERE couplet_index = 1),
+near AS (SELECT b.id, a.id AS o FROM ix a JOIN ix b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.6 UNION SELECT b.id, a.id FROM iw a JOIN iw b ON a.c = b.c AND a.c <> '' AND a.id < b.id),
+it AS (SELECT iw.id, row_number() OVER (ORDER BY iw.id) AS k, len(w) > 0 AND (iw.id IN (SELECT id FROM old) OR (c <> '' AND c IN (SELECT c FROM cw))) AS known, coalesce((SELECT list(o) FROM near WHERE near.id = iw.id), []) AS ahead FROM iw),
+s AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS acc UNION ALL SELECT it.k, CASE WHEN it.known OR list_has_any(it.ahead, s.acc) THEN s.acc ELSE list_append(s.acc, it.id) END FROM s JOIN it ON it.k = s.k + 1)
+SELECT id AS item_id FROM it WHERE NOT list_contains((SELECT acc FROM s ORDER BY k DESC LIMIT 1), id)"""
+
 SQL = {
+    "p1_found": _ITEMS,
+    "p5_ngrams": f"""WITH {MAPS}, t AS (SELECT id, regexp_extract_all(lower({_fold('text_urdu')}), {WORDS}) AS w FROM texts, full_map WHERE text_urdu IS NOT NULL), x AS (SELECT id, 1 AS n, unnest(w) AS term FROM t UNION ALL SELECT id, 2, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) FROM t)
+SELECT n, term, count(*) AS occurrences, count(DISTINCT id) AS records FROM x GROUP BY ALL""",
     "p2_found": f"{_KEYS}, g AS (SELECT id, min(id) OVER (PARTITION BY k) AS group_id FROM c) SELECT group_id, id AS text_id FROM g WHERE id <> group_id",
     "p2_copies": f"{_KEYS} SELECT min(id) AS text_id, count(*) AS copies FROM c GROUP BY k",
     "p3_verses": f"WITH {MAPS} SELECT text_id, couplet_index, {_fold('misra1_urdu')} AS misra1_urdu, {_fold('misra2_urdu')} AS misra2_urdu FROM verses, full_map",
