@@ -69,8 +69,8 @@ def probe(items: DataFrame, history: DataFrame, coverage: float = COVERAGE, skip
     """
     skipped = min(skipped, coverage)
     known = history.select(F.lit(0).alias("kind"), "id", "chunk", "size").unionByName(items.select(F.lit(1).alias("kind"), "id", "chunk", "size"))
-    # only chunks that some item has matter
-    known = cut(known.join(items.select("chunk").distinct(), "chunk", "left_semi"))
+    # only chunks that some item has matter; both uses below are by chunk, so they share the exchange, and nothing is stored
+    known = known.join(items.select("chunk").distinct(), "chunk", "left_semi")
     often = known.groupBy("chunk").agg(F.count("*").alias("often")).where("often > 1")
     of = Window.partitionBy("id")
     rows = items.join(often, "chunk", "left").withColumn("total", F.sum("size").over(of)).withColumn("below", F.sum("size").over(of.orderBy(F.desc_nulls_last("often"), "chunk")))
