@@ -107,7 +107,7 @@ def centroids(v: DataFrame, key: str, width: int = WIDTH, held: int = 20_000) ->
 
     parts = rows.mapInArrow(add, "key long, n long, s array<double>").select("key", "n", F.posexplode("s").alias("place", "x"))
     each = parts.groupBy("key", "place").agg((F.sum("x") / F.sum("n")).alias("x"))
-    return each.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda y: y["x"]).alias("centroid")).select(F.col("key").alias(key), "centroid")
+    return each.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda y: y["x"]).alias("centroid")).select(F.col("key").cast(v.schema[key].dataType).alias(key), "centroid")
 
 
 def fingerprints(v: DataFrame, texts: DataFrame, features: DataFrame, n: int = 5) -> DataFrame:

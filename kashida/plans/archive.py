@@ -291,7 +291,7 @@ def top_words_by_poet(spark: SparkSession, d: str) -> DataFrame:
 
 
 _COUNT = f"c AS (SELECT poet_id, w AS word, count(*) AS n FROM (SELECT poet_id, unnest({q.tokens('text_urdu')}) AS w FROM texts WHERE text_urdu IS NOT NULL AND poet_id IS NOT NULL) GROUP BY ALL)"
-SQL["top_words_by_poet"] = f"WITH {_COUNT}, r AS (SELECT *, row_number() OVER (PARTITION BY poet_id ORDER BY n DESC, word) AS rank FROM c) SELECT poet_id, word, n, rank, CAST(round(n / max(n) OVER (PARTITION BY poet_id) * 100) AS BIGINT) AS share FROM r WHERE rank <= 20"
+SQL["top_words_by_poet"] = f"WITH {_COUNT}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY poet_id ORDER BY n DESC, word) AS INTEGER) AS rank FROM c) SELECT poet_id, word, n, rank, CAST(round(n / max(n) OVER (PARTITION BY poet_id) * 100) AS BIGINT) AS share FROM r WHERE rank <= 20"
 
 
 def compare_poets(spark: SparkSession, d: str) -> DataFrame:

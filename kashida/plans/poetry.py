@@ -47,7 +47,7 @@ def top_radif(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["top_radif"] = rf"""WITH {q.FEATURES}, c AS (SELECT regexp_replace(radif, '^\s+|\s+$', '', 'g') AS radif, count(*) AS n FROM f WHERE radif IS NOT NULL AND radif <> '' GROUP BY 1 ORDER BY n DESC, radif LIMIT 20)
-SELECT radif, n, row_number() OVER (ORDER BY n DESC, radif) AS rank, CAST(round(n / max(n) OVER () * 100) AS BIGINT) AS share FROM c"""
+SELECT radif, n, CAST(row_number() OVER (ORDER BY n DESC, radif) AS INTEGER) AS rank, CAST(round(n / max(n) OVER () * 100) AS BIGINT) AS share FROM c"""
 
 
 def qaafiya_by_text(spark: SparkSession, d: str) -> DataFrame:
@@ -221,7 +221,7 @@ def fingerprint_attribution(spark: SparkSession, d: str) -> DataFrame:
 _PRINTS = f"""WITH {q.VECTORS}, {q.FEATURES}, d AS (SELECT t.poet_id, i, avg(e.v[i]) AS x FROM e JOIN texts t ON t.id = e.text_id, range(1, 385) r(i) WHERE t.poet_id IS NOT NULL GROUP BY ALL), m AS (SELECT poet_id, list(x ORDER BY i) AS c FROM d GROUP BY poet_id),
 j AS (SELECT t.poet_id, f.radif, count(*) AS n FROM f JOIN texts t ON t.id = f.text_id WHERE t.poet_id IS NOT NULL AND f.radif IS NOT NULL AND f.radif <> '' GROUP BY ALL), r AS (SELECT poet_id, radif FROM j QUALIFY row_number() OVER (PARTITION BY poet_id ORDER BY n DESC, radif) <= 5)"""
 SQL["fingerprint_attribution"] = f"""{_PRINTS}, s AS (SELECT e.text_id, m.poet_id, round(0.6 * ({q.cosine('e.v', 'm.c')}) + CASE WHEN r.radif IS NOT NULL THEN 0.2 ELSE 0.0 END + 0.1 * 0.5, 6)::DOUBLE AS score FROM e CROSS JOIN m LEFT JOIN f ON f.text_id = e.text_id LEFT JOIN r ON r.poet_id = m.poet_id AND r.radif = f.radif)
-SELECT text_id, poet_id, score, row_number() OVER (PARTITION BY text_id ORDER BY score DESC, poet_id) AS rank FROM s QUALIFY rank <= 3"""
+SELECT text_id, poet_id, score, CAST(row_number() OVER (PARTITION BY text_id ORDER BY score DESC, poet_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 3"""
 
 
 def feature_vectors(spark: SparkSession, d: str) -> DataFrame:
