@@ -51,7 +51,7 @@ x AS (SELECT 'text_urdu' AS field_name, id, unnest(w) AS term, 0.2 AS share FROM
 n AS (SELECT field_name, count(DISTINCT id) AS total FROM x GROUP BY ALL), c AS (SELECT field_name, term, share, count(*) AS occurrences, count(DISTINCT id) AS held FROM x GROUP BY ALL)"""
 _NEAR = """WITH l AS (SELECT text_id, embedding_vector AS e FROM ghazal_embeddings QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY updated_at DESC NULLS LAST, embedding_vector DESC NULLS LAST) = 1),
 u AS (SELECT text_id AS id, e::DOUBLE[] AS v FROM l WHERE len(e) = 384 AND len([x for x in e if x IS NOT NULL AND isfinite(x)]) = 384 AND len([x for x in e if x <> 0]) > 0), m AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS s FROM u),
-p AS (SELECT a.id AS a, b.id AS b, round(list_dot_product(a.v, b.v) / (a.s * b.s), 6) AS cosine FROM m a JOIN m b ON a.id <> b.id), k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS rank FROM p QUALIFY rank <= 5)"""
+p AS (SELECT a.id AS a, b.id AS b, round(list_dot_product(a.v, b.v) / (a.s * b.s), 6) AS cosine FROM m a JOIN m b ON a.id <> b.id), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS INTEGER) AS rank FROM p QUALIFY rank <= 5)"""
 
 _GRAMS = "list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)] END)"
 _LINES = f"array_to_string([l for l in string_split_regex(f, '\\r\\n|\\n|\\r') if l NOT SIMILAR TO '[{BLANK}]*'][1:2], chr(10))"
