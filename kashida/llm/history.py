@@ -17,8 +17,8 @@ from .textforms import words
 
 #: A chunk ends after one word in so many.
 DIVISOR = 2
-#: Share of an item's words in chunks that another record has too, from which that record is held against it word by word. On the
-#: test tables no text of likeness 0.6 shares less than 0.5.
+#: Share of an item's words in chunks that another record has too, from which that record is held against it word by word. It decides
+#: only which cases are found cheaply: what chunks leave open is looked up by its word sequences, without loss (see lookup).
 COVERAGE = 0.4
 #: Share of an item's words in its most frequent chunks, which are not looked up, so formulas of up to this share cost nothing.
 SKIPPED = 0.25
@@ -61,24 +61,46 @@ class ChunkTable:
 
 
 def probe(items: DataFrame, history: DataFrame, coverage: float = COVERAGE, skipped: float = SKIPPED) -> DataFrame:
-    """(item, kind, id): records that may share at least `coverage` of an item's words, by chunks.
+    """(item, id): records of the history that may share at least `coverage` of an item's words, by chunks.
 
-    items: chunk rows (id, chunk, size) of the batch; history: chunk rows of what was accepted. kind 0: id is a record of the history;
-    kind 1: an earlier item of the batch. Of each item the most frequent chunks, up to the share `skipped` of its words, are not looked
+    items: chunk rows (id, chunk, size) of the batch; history: chunk rows of what was accepted. Of each item the most frequent chunks, up to the share `skipped` of its words, are not looked
     up: a record that covers more has another chunk in common. What they might add is counted in, so nothing above the bound is lost.
     """
     skipped = min(skipped, coverage)
-    known = history.select(F.lit(0).alias("kind"), "id", "chunk", "size").unionByName(items.select(F.lit(1).alias("kind"), "id", "chunk", "size"))
     # only chunks that some item has matter; both uses below are by chunk, so they share the exchange, and nothing is stored
-    known = known.join(items.select("chunk").distinct(), "chunk", "left_semi")
-    often = known.groupBy("chunk").agg(F.count("*").alias("often")).where("often > 1")
+    known = history.select("id", "chunk", "size").join(items.select("chunk").distinct(), "chunk", "left_semi")
+    often = known.groupBy("chunk").agg(F.count("*").alias("often"))
     of = Window.partitionBy("id")
     rows = items.join(often, "chunk", "left").withColumn("total", F.sum("size").over(of)).withColumn("below", F.sum("size").over(of.orderBy(F.desc_nulls_last("often"), "chunk")))
     rows = rows.withColumn("skipped", F.max(F.when(F.col("below") < skipped * F.col("total"), F.col("below")).otherwise(0)).over(of))
     asked = rows.where((F.col("below") >= skipped * F.col("total")) & F.col("often").isNotNull()).select(F.col("id").alias("item"), "chunk", F.col("size").alias("own"), "total", "skipped")
-    hit = asked.join(known, "chunk").where("kind = 0 OR id < item")
-    shared = hit.groupBy("item", "kind", "id").agg(F.sum(F.least("own", "size")).alias("shared"), F.first("total").alias("total"), F.first("skipped").alias("skipped"))
-    return shared.where(F.col("shared") + F.col("skipped") >= coverage * F.col("total")).select("item", "kind", "id")
+    hit = asked.join(known, "chunk")
+    shared = hit.groupBy("item", "id").agg(F.sum(F.least("own", "size")).alias("shared"), F.first("total").alias("total"), F.first("skipped").alias("skipped"))
+    return shared.where(F.col("shared") + F.col("skipped") >= coverage * F.col("total")).select("item", "id")
+
+
+def lookup(items: DataFrame, history: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """(item, kind, id): every record whose likeness with an item may be `threshold`; none that has it is left out.
+
+    items and history: (id, s), the distinct word sequences of the batch and of what was accepted; sizes: (id, n) of the history. kind
+    0: id is a record of the history; kind 1: an earlier item of the batch. A record of that likeness has at least threshold * n of an
+    item's n sequences, so it has one of any n - ceil(threshold * n) + 1 of them: these, the rarest, are looked up, so sequences that
+    many records have cost nothing unless an item has hardly any other. What the others might add is counted in.
+    """
+    known = history.select(F.lit(0).alias("kind"), "id", "s").unionByName(items.select(F.lit(1).alias("kind"), "id", "s"))
+    known = known.join(items.select("s").distinct(), "s", "left_semi")
+    often = known.groupBy("s").agg(F.count("*").alias("often"))
+    of = Window.partitionBy("id")
+    rows = items.join(often, "s").withColumn("total", F.count("*").over(of)).withColumn("at", F.row_number().over(of.orderBy("often", "s")))
+    # likeness is compared in floating point, so a bound that is whole must not be rounded up
+    rows = rows.withColumn("skipped", F.greatest(F.ceil(threshold * F.col("total") - 1e-6) - 1, F.lit(0)))
+    asked = rows.where((F.col("at") <= F.col("total") - F.col("skipped")) & (F.col("often") > 1)).select(F.col("id").alias("item"), "s", "total", "skipped")
+    hit = asked.join(known, "s").where("kind = 0 OR id < item")
+    shared = hit.groupBy("item", "kind", "id").agg(F.count("*").alias("shared"), F.first("total").alias("total"), F.first("skipped").alias("skipped"))
+    own = rows.groupBy("id").agg(F.first("total").alias("n"))
+    sizes = sizes.select(F.lit(0).alias("kind"), "id", F.col("n").cast("long").alias("n")).unionByName(own.select(F.lit(1).alias("kind"), "id", "n"))
+    need = threshold / (1 + threshold) * (F.col("total") + F.col("n")) - 1e-6
+    return shared.join(sizes, ["kind", "id"]).where(F.col("shared") + F.col("skipped") >= need).select("item", "kind", "id")
 
 
 def first_lines(text: str | None) -> list[str]:
@@ -130,20 +152,23 @@ def new_items(items: DataFrame, history: DataFrame, verses: DataFrame, n: int =
     first = new.where("digest IS NOT NULL").groupBy("digest", "couplet").agg(F.min("id").alias("id"), F.first("words").alias("words"), F.first("n").alias("n"))
     first = cut(first)
     mine = cut(chunk_rows(first))
-    pairs = cut(probe(mine, chunks.rows(), coverage))
+    pairs = probe(mine, chunks.rows(), coverage)
     size = first.select(F.col("id").alias("item"), F.col("n").alias("ni"))
     fit = F.least("n", "ni") >= threshold * F.greatest("n", "ni")
-    back = pairs.where("kind = 0").join(old.reps.select("id", "n"), "id").join(size, "item").where(fit).select(F.col("item").alias("a"), F.col("id").alias("b"))
-    back = cut(back)
-    known = verified(back, first, old.reps, n, threshold).select(F.col("a").alias("id"))
-    if not old.giants.isEmpty():
-        known = known.unionByName(_giant_hits(back, first, old, n, threshold))
+    back = cut(pairs.join(old.reps.select("id", "n"), "id").join(size, "item").where(fit).select(F.col("item").alias("a"), F.col("id").alias("b")))
+    known = _hits(back, first, old, n, threshold)
     opening = couplets(verses.where("couplet_index = 1").select(F.col("text_id").cast("long").alias("id"), F.concat_ws("\n", "misra1_urdu", "misra2_urdu").alias("m")).distinct(), "m", lines=False)
     known = known.unionByName(first.join(opening.select("couplet").distinct(), "couplet", "left_semi").select("id")).distinct()
     known = cut(known)
-    rest = cut(first.join(known, "id", "left_anti").select("id", "couplet"))
+    # what chunks left open: every record that may be alike is found by word sequences, none by chance
+    left = cut(first.join(known, "id", "left_anti"))
+    past = exploded(old.reps.where("words IS NOT NULL").select("id", F.lit(0).alias("piece"), "words"), False, n, whole=True).unionByName(exploded(old.giants, True, n))
+    asked = cut(exploded(left.select("id", F.lit(0).alias("piece"), "words"), False, n, whole=True))
+    pairs = cut(lookup(asked, past, old.reps.select("id", "n"), threshold))
+    known = cut(known.unionByName(_hits(pairs.where("kind = 0").select(F.col("item").alias("a"), F.col("id").alias("b")), left, old, n, threshold)).distinct())
+    rest = cut(left.join(known, "id", "left_anti").select("id", "couplet"))
     ahead = pairs.where("kind = 1").select(F.col("id").alias("a"), F.col("item").alias("b")).join(rest.select(F.col("id").alias("a")), "a").join(rest.select(F.col("id").alias("b")), "b")
-    links = cut(verified(ahead, first, first, n, threshold).select(F.col("a").alias("lo"), F.col("b").alias("hi")))
+    links = cut(verified(ahead, left, left, n, threshold).select(F.col("a").alias("lo"), F.col("b").alias("hi")))
     status = in_order(rest, links).unionByName(known.select("id", F.lit("case").alias("status")))
     stands = first.select(F.col("digest").alias("g"), F.col("couplet").alias("c"), F.col("id").alias("rep"))
     all_items = new.join(stands, (F.col("digest") == F.col("g")) & F.col("couplet").eqNullSafe(F.col("c")), "left")
@@ -151,6 +176,12 @@ def new_items(items: DataFrame, history: DataFrame, verses: DataFrame, n: int =
     return cut(out), old, chunks
 
 
+def _hits(pairs: DataFrame, items: DataFrame, old: Texts, n: int, threshold: float) -> DataFrame:
+    """(id) of items a that are alike to a text b of the history, of pairs (a, b)."""
+    known = verified(pairs, items, old.reps, n, threshold).select(F.col("a").alias("id"))
+    return known if old.giants.isEmpty() else known.unionByName(_giant_hits(pairs, items, old, n, threshold))
+
+
 def _giant_hits(pairs: DataFrame, items: DataFrame, old: Texts, n: int, threshold: float) -> DataFrame:
     """(id) of items alike to a text in several pieces; sequences are joined row by row."""
     pairs = pairs.join(old.giants.select(F.col("id").alias("b")).distinct(), "b", "left_semi")

@@ -116,8 +116,9 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, n: int, thresh
     return rows.where("u IS NOT NULL AND v IS NOT NULL").select("a", "b", "u", "v").mapInArrow(of, "a long, b long, likeness double")
 
 
-def exploded(docs: DataFrame, tails: bool, n: int) -> DataFrame:
-    """(id, s): the distinct n-word sequences, as hashes, of texts (id, piece, words), a row each: for texts of any length."""
+def exploded(docs: DataFrame, tails: bool, n: int, whole: bool = False) -> DataFrame:
+    """(id, s): the distinct n-word sequences, as hashes, of texts (id, piece, words), a row each: for texts of any length.
+    whole: every text is one row, so that nothing is left to be made distinct."""
     if tails:
         head = F.lead(F.array_join(F.slice(F.split("words", " "), 1, n - 1), " ")).over(Window.partitionBy("id").orderBy("piece"))
         docs = docs.withColumn("tail", F.coalesce(head, F.lit("")))
@@ -130,7 +131,8 @@ def exploded(docs: DataFrame, tails: bool, n: int) -> DataFrame:
             doc, s = Batch([x.split(" ") for x in w], [x.split() for x in t], n).shingles()
             yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in doc.tolist()], pa.int64()), pa.array(s.view("int64"))], names=["id", "s"])
 
-    return docs.select("id", "words", "tail").mapInArrow(of, "id long, s long").distinct()
+    rows = docs.select("id", "words", "tail").mapInArrow(of, "id long, s long")
+    return rows if whole else rows.distinct()
 
 
 def verified_giants(pairs: DataFrame, texts: Texts, others: DataFrame, n: int, threshold: float) -> DataFrame:

@@ -164,6 +164,25 @@ def test_new_items(spark, seed):
     assert chunks.rows().count() > 0
 
 
+def test_cases_that_share_no_chunk(spark):
+    """Short items with a changed word at each end, of which hardly a chunk is left: the word sequences still find the text."""
+    r = random.Random(5)
+    rows, items = [], []
+    while len(rows) < 12:
+        w = [word(r.randrange(100_000, 1_000_000)) for _ in range(r.randrange(10, 15))]
+        v = ["new", *w[1:-1], "made"] if r.random() < 0.5 else [w[0], "new", *w[2:]]
+        doc, chunk, size = Batch([v, w]).chunks(history.DIVISOR)
+        shared = size[(doc == 0) & np.isin(chunk, chunk[doc == 1])].sum()
+        if likeness(v, w, 3) >= 0.6 and shared < (history.COVERAGE - history.SKIPPED) * len(v):
+            rows.append((len(rows) + 1, " ".join(w)))
+            items += [(len(rows), 1, None, " ".join(v)), (len(rows) + 100, 1, None, " ".join(v[::-1])), (len(rows) + 200, 1, None, " ".join(w[::-1]))]
+    df = spark.createDataFrame(items, "item_id long, arrived_at long, full_text string, normalized_text string")
+    want = sequential(items, [t for _, t in rows], set(), 3, 0.6)
+    assert set(range(1, 13)) <= want and set(range(201, 213)) <= want and not set(range(101, 113)) & want
+    got = history.new_items(df, bodies(texts(spark, rows), verses(spark)), verses(spark), n=3, threshold=0.6)[0]
+    assert {x.id for x in got.collect() if x.status == "case"} == want
+
+
 def test_no_items_or_history(spark):
     e = "item_id long, arrived_at long, full_text string, normalized_text string"
     none = bodies(texts(spark, []), verses(spark))
