@@ -45,7 +45,8 @@ def chunk_rows(texts: DataFrame, divisor: int = DIVISOR) -> DataFrame:
 class ChunkTable:
     """The persistent chunk-to-record table: (chunk, id, size) of every accepted record, in a folder that all executors share.
 
-    A batch reads it and appends the chunks of what it accepts; texts accepted before are never chunked again.
+    Beside it are the records' words and sizes, and the digests of first couplets, by which candidates are decided. A batch reads all
+    of it and appends what it accepts; texts accepted before are never read, hashed or chunked again.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -53,11 +54,30 @@ class ChunkTable:
 
     def append(self, texts: DataFrame) -> ChunkTable:
         """Adds the chunks of texts (id, words)."""
-        chunk_rows(texts).write.mode("append").parquet(self.path)
+        chunk_rows(texts).write.mode("append").parquet(f"{self.path}/chunks")
+        return self
+
+    def add(self, texts: Texts, couplets: DataFrame) -> ChunkTable:
+        """Adds records, whose ids must be new, and the digests (couplet) of first couplets."""
+        self.append(texts.reps.where("words IS NOT NULL").select("id", "words").unionByName(texts.giants.select("id", "words")))
+        parts = {"reps": texts.reps.select("id", "n", "words"), "giants": texts.giants.select("id", "piece", "words"), "couplets": couplets.select("couplet")}
+        for name, rows in parts.items():
+            rows.write.mode("append").option("compression", "zstd").parquet(f"{self.path}/{name}")
         return self
 
     def rows(self) -> DataFrame:
-        return self.spark.read.schema("id long, chunk long, size int").parquet(self.path)
+        return self._read("chunks", "id long, chunk long, size int")
+
+    def texts(self) -> Texts:
+        """The records so far, each once."""
+        reps = self._read("reps", "id long, n int, words string").withColumns({"sig": F.lit(None).cast("array<bigint>"), "copies": F.lit(1).cast("long")})
+        return Texts(reps, self.spark.createDataFrame([], "rep long, id long"), self._read("giants", "id long, piece int, words string"))
+
+    def couplets(self) -> DataFrame:
+        return self._read("couplets", "couplet binary")
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
 
 def probe(items: DataFrame, history: DataFrame, coverage: float = COVERAGE, skipped: float = SKIPPED) -> DataFrame:
@@ -137,13 +157,16 @@ def new_items(items: DataFrame, history: DataFrame, verses: DataFrame, n: int =
     (text_id, couplet_index, misra1_urdu, misra2_urdu). Items are taken in item_id order; status is 'case' if an item is at least
     `threshold` alike (Jaccard index of n-word sequences) to a text or to an earlier accepted item, or has the words of its first
     couplet in common with one; else 'accepted'. Stored hashes are not used, for they may be wrong. An item without words is accepted.
-    chunks: the table kept from earlier batches; without one it is made from history.
+    chunks: the table that an earlier call returned, which is read instead of history and verses; without one it is made from them.
+    Accepted items are appended to it under ids of their own, which follow those that it has, so the next batch is held against them.
     """
     spark = items.sparkSession
-    old = distinct_texts(cut(read_words(history, n)), n)
     if chunks is None:
-        giants = old.giants.select("id", "words")
-        chunks = ChunkTable(spark, shared_folder(spark, f"chunks-{uuid.uuid4().hex}")).append(old.reps.where("words IS NOT NULL").select("id", "words").unionByName(giants))
+        old = distinct_texts(cut(read_words(history, n)), n)
+        opening = couplets(verses.where("couplet_index = 1").select(F.col("text_id").cast("long").alias("id"), F.concat_ws("\n", "misra1_urdu", "misra2_urdu").alias("m")).distinct(), "m", lines=False)
+        chunks = ChunkTable(spark, shared_folder(spark, f"chunks-{uuid.uuid4().hex}")).add(old, opening.select("couplet").distinct())
+    else:
+        old = chunks.texts()
     read = cut(read_items(items))
     line = couplets(read, "full_text", lines=True)
     new = read.select("id").join(read_words(read, n).select("id", "n", "digest", "words"), "id", "left").join(line, "id", "left")
@@ -157,8 +180,7 @@ def new_items(items: DataFrame, history: DataFrame, verses: DataFrame, n: int =
     fit = F.least("n", "ni") >= threshold * F.greatest("n", "ni")
     back = cut(pairs.join(old.reps.select("id", "n"), "id").join(size, "item").where(fit).select(F.col("item").alias("a"), F.col("id").alias("b")))
     known = _hits(back, first, old, n, threshold)
-    opening = couplets(verses.where("couplet_index = 1").select(F.col("text_id").cast("long").alias("id"), F.concat_ws("\n", "misra1_urdu", "misra2_urdu").alias("m")).distinct(), "m", lines=False)
-    known = known.unionByName(first.join(opening.select("couplet").distinct(), "couplet", "left_semi").select("id")).distinct()
+    known = known.unionByName(first.join(chunks.couplets(), "couplet", "left_semi").select("id")).distinct()
     known = cut(known)
     # what chunks left open: every record that may be alike is found by word sequences, none by chance
     left = cut(first.join(known, "id", "left_anti"))
@@ -169,13 +191,26 @@ def new_items(items: DataFrame, history: DataFrame, verses: DataFrame, n: int =
     rest = cut(left.join(known, "id", "left_anti").select("id", "couplet"))
     ahead = pairs.where("kind = 1").select(F.col("id").alias("a"), F.col("item").alias("b")).join(rest.select(F.col("id").alias("a")), "a").join(rest.select(F.col("id").alias("b")), "b")
     links = cut(verified(ahead, left, left, n, threshold).select(F.col("a").alias("lo"), F.col("b").alias("hi")))
-    status = in_order(rest, links).unionByName(known.select("id", F.lit("case").alias("status")))
+    status = in_order(rest, links)
+    _accept(first.join(status.where("status = 'accepted'").select("id"), "id"), old, chunks)
+    status = status.unionByName(known.select("id", F.lit("case").alias("status")))
     stands = first.select(F.col("digest").alias("g"), F.col("couplet").alias("c"), F.col("id").alias("rep"))
     all_items = new.join(stands, (F.col("digest") == F.col("g")) & F.col("couplet").eqNullSafe(F.col("c")), "left")
     out = all_items.join(status.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.when(F.col("rep") < F.col("id"), "case").otherwise(F.coalesce("status", F.lit("accepted"))).alias("status"))
     return cut(out), old, chunks
 
 
+def _accept(items: DataFrame, old: Texts, chunks: ChunkTable) -> None:
+    """Appends accepted items (id, n, words, couplet) to the table."""
+    items = cut(items)
+    least = items.agg(F.min("id")).first()[0]  # one number, as is the next
+    if least is None:
+        return
+    last = old.reps.agg(F.max("id")).first()[0]
+    own = items.withColumn("id", F.col("id") - least + (0 if last is None else last + 1))
+    chunks.add(Texts(own, own.select(F.col("id").alias("rep"), "id").limit(0), own.select("id", F.lit(0).alias("piece"), "words").limit(0)), own.where("couplet IS NOT NULL").select("couplet").distinct())
+
+
 def _hits(pairs: DataFrame, items: DataFrame, old: Texts, n: int, threshold: float) -> DataFrame:
     """(id) of items a that are alike to a text b of the history, of pairs (a, b)."""
     known = verified(pairs, items, old.reps, n, threshold).select(F.col("a").alias("id"))

@@ -183,6 +183,27 @@ def test_cases_that_share_no_chunk(spark):
     assert {x.id for x in got.collect() if x.status == "case"} == want
 
 
+def test_two_batches(spark):
+    """A second batch is held against what the first accepted, by the table alone; its item ids may be those of texts and items."""
+    rows, pool = corpus(30, 4), corpus(75, 4)[30:]
+    plain = [t for _, t in pool]
+    lines = ["\n".join(" ".join(t.split()[k : k + 4]) for k in range(0, len(t.split()), 4)) for t in plain]
+    one = [(i, 1, x, None) for i, x in enumerate(lines[:25], 1)]
+    two = [(i, 1, x, None) for i, x in enumerate(lines[15:], 5)]
+    cases = sequential(one, [t for _, t in rows], set(), 3, 0.6)
+    taken = next(x for i, _, x, _ in one if i not in cases and x.count("\n") > 2)
+    two.append((90, 1, "\n".join([*taken.split("\n")[:2], "other words here altogether"]), None))
+    v = [(1, 1, "one two three", "four five six")]
+    two.append((91, 1, "One two three\nfour five six\nthen other words", None))
+    want = sequential(one + [(i + 1000, *x) for i, *x in two], [t for _, t in rows], {tuple(words("one two three four five six"))}, 3, 0.6)
+    schema = "item_id long, arrived_at long, full_text string, normalized_text string"
+    a, _, table = history.new_items(spark.createDataFrame(one, schema), bodies(texts(spark, rows), verses(spark)), verses(spark, v), n=3, threshold=0.6)
+    b = history.new_items(spark.createDataFrame(two, schema), bodies(texts(spark, []), verses(spark)), verses(spark), n=3, threshold=0.6, chunks=table)[0]
+    got = {x.id for x in a.collect() if x.status == "case"} | {x.id + 1000 for x in b.collect() if x.status == "case"}
+    assert sorted(got - want) == sorted(want - got) == [] and {1090, 1091} <= want
+    assert table.texts().reps.count() == table.texts().reps.select("id").distinct().count()
+
+
 def test_no_items_or_history(spark):
     e = "item_id long, arrived_at long, full_text string, normalized_text string"
     none = bodies(texts(spark, []), verses(spark))
