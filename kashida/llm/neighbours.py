@@ -19,6 +19,8 @@ TREES = 10
 PLACES = 16
 #: Vectors that a leaf should hold, and those that one task multiplies at once.
 LEAF, BLOCK = 192, 2048
+#: Pairs whose cosines are computed at once in double precision.
+PAIRS = 8192
 
 
 @dataclass
@@ -113,22 +115,34 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
 
 
+def _slack(width: int) -> float:
+    """How far apart, in single precision, cosines may be that are equal after rounding to 6 decimals: the rounding step, and twice the
+    error of a product of two unit vectors if all rounding errors of it and of their norms added up."""
+    return 1.001e-6 + 2 * (3 * width + 16) * 2.0**-24
+
+
 def _rank(v: np.ndarray, w: np.ndarray, k: int, ids_v: np.ndarray, ids_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, cosines) of the k nearest rows of w of each row of v, not of equal id; -9 where there are fewer. Single precision finds
-    them with a margin, double precision, rounded to 6 decimals, ranks them, ties by smaller id."""
-    m = min(len(w), k + 7)
+    """(ids, cosines) of the k nearest rows of w of each row of v, not of equal id; -9 where there are fewer. Double precision, rounded
+    to 6 decimals, ranks them, ties by smaller id; single precision only leaves out what is too far from the k-th to tie with it."""
+    m = min(len(w), k)
     s = _unit(v) @ _unit(w).T
-    top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(w) else np.tile(np.arange(len(w)), (len(v), 1))
+    s[ids_v[:, None] == ids_w[None, :]] = -9
+    least = np.partition(s, len(w) - m, axis=1)[:, len(w) - m] - _slack(v.shape[1])
+    row, col = np.nonzero((s >= least[:, None]) & (s > -9))
     dv, dw = v.astype(np.float64), w.astype(np.float64)
     nv, nw = np.sqrt((dv * dv).sum(1)), np.sqrt((dw * dw).sum(1))
-    cos = np.empty(top.shape)
-    for c in range(m):
-        cos[:, c] = (dv * dw[top[:, c]]).sum(1)
-    cos = np.round(cos / (nv[:, None] * nw[top]), 6)
-    ids = ids_w[top]
-    cos[ids == ids_v[:, None]] = -9
-    order = np.lexsort((ids, -cos), axis=1)[:, :k]
-    return np.take_along_axis(ids, order, 1), np.take_along_axis(cos, order, 1)
+    cos = np.empty(len(row))
+    for at in range(0, len(row), PAIRS):
+        r, c = row[at : at + PAIRS], col[at : at + PAIRS]
+        cos[at : at + PAIRS] = (dv[r] * dw[c]).sum(1) / (nv[r] * nw[c])
+    cos = np.round(cos, 6)
+    order = np.lexsort((ids_w[col], -cos, row))
+    row, col, cos = row[order], col[order], cos[order]
+    at = np.arange(len(row)) - np.searchsorted(row, row)
+    row, col, cos, at = (x[at < m] for x in (row, col, cos, at))
+    ids, best = np.zeros((len(v), m), ids_w.dtype), np.full((len(v), m), -9.0)
+    ids[row, at], best[row, at] = ids_w[col], cos
+    return ids, best
 
 
 def _leaf(k: int, width: int):  # noqa: ANN202
@@ -161,14 +175,18 @@ def _leaf(k: int, width: int):  # noqa: ANN202
 def nearest(vectors: DataFrame, k: int = 5, width: int = 384, trees: int = TREES, places: int = PLACES, leaf: int = LEAF, sample: int = SAMPLE, seed: int = 0) -> DataFrame:
     """(id, neighbour, cosine, rank): the k most similar other vectors of every vector (id, vector), as far as the forest finds them.
 
-    Equal vectors are collapsed first, each with the k + 1 smallest of their ids, so that any number of copies takes one place.
+    Vectors of equal direction are collapsed first, each with the k + 1 smallest of their ids, so that any number of copies, whatever
+    their lengths, takes one place.
     Every distinct vector is put into `places` leaves of the forest, and every leaf is searched exactly: its vectors are held against
     each other, and only the best k of each go on. Leaves of more than BLOCK vectors are searched in blocks, each pair of blocks in a
     task of its own, so no leaf is collected whole. The forest is fitted on at most `sample` vectors. Cosines are in double precision,
     rounded to 6 decimals, ties by smaller id. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    keyed = vectors.where("id IS NOT NULL AND vector IS NOT NULL").select("id", "vector", F.xxhash64("vector").alias("h"), F.xxhash64(F.lit(1), "vector").alias("g"))
+    # quotients of single-precision numbers in double precision are the same for vectors in proportion; + 0.0 makes -0.0 of them 0.0; m is bound, so that it
+    # is computed once a vector
+    way = F.expr("transform(array(double(array_max(transform(vector, y -> abs(y))))), m -> transform(vector, x -> try_divide(double(x), m) + 0.0D))[0]")
+    keyed = vectors.where("id IS NOT NULL AND vector IS NOT NULL").select("id", "vector", F.xxhash64(way).alias("h"), F.xxhash64(F.lit(1), way).alias("g"))
     classes = cut(keyed.groupBy("h", "g").agg(F.min("id").alias("rep"), F.first("vector").alias("vector"), F.count("*").alias("copies")))
     same = cut(keyed.select("h", "g", "id").join(classes.where("copies > 1").select("h", "g", "rep"), ["h", "g"]).select("rep", "id"))
     first = same.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1)

@@ -47,6 +47,20 @@ def test_nearest(spark, monkeypatch, block):
     assert [got[59][r] for r in range(1, 6)] == want[59]
 
 
+def test_more_ties_than_neighbours(spark):
+    """Forty vectors that tie after rounding, and thirty of one direction: the smallest ids are kept, whatever single precision says."""
+    r = np.random.default_rng(3)
+    v = r.standard_normal((110, 24)).astype(np.float32)
+    v[20:60] = v[20] + 1e-5 * r.standard_normal((40, 24)).astype(np.float32)
+    v[60:90] = np.round(v[60] * 8) * np.arange(1, 31)[:, None]
+    ids = [int(x) for x in r.permutation(np.arange(1, 111))]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)], "id long, vector array<float>")
+    got = {}
+    for x in neighbours.nearest(df, 5, 24).collect():
+        got.setdefault(x.id, {})[x.rank] = (x.neighbour, x.cosine)
+    assert {i: [g[k] for k in sorted(g)] for i, g in got.items()} == brute(ids, v, 5)
+
+
 def test_small_and_empty(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [1.0, 0.0]), (None, [1.0, 1.0]), (4, None)], "id long, vector array<float>")
     got = sorted((x.id, x.rank, x.neighbour) for x in neighbours.nearest(df, 2, 2).collect())
