@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -16,7 +15,11 @@ from .frames import cut
 from .textforms import BARE, FOLD, WORD
 
 #: Punctuation and symbols, which count as formatting together with white space.
-_PUNCT = {c: " " for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in "PS" and unicodedata.category(chr(c)) != "Sk"}
+_PUNCT = {c: " " for c in (*range(0x30000), *range(0xE0000, 0xE0200)) if (k := unicodedata.category(chr(c)))[0] in "PS" and k != "Sk"}
+#: Words and numbers, at most, of a body that is compared by its full canonical form; a longer one is compared by a digest of all of them.
+LONG = 1 << 16
+#: The modulus and base of digests of sequences (a Mersenne prime, and a number without pattern).
+_PRIME, _BASE = (1 << 127) - 1, 0x2545F4914F6CDD1D_9E3779B97F4A7C15
 # The labels of header fields in their languages.
 LABELS = frozenset(("عنوان", "شاعر", "بحر", "ماخذ", "title", "poet", "metre", "origin"))
 
@@ -25,12 +28,8 @@ def _tokens(text: str) -> str:
     return " ".join(text.translate(_PUNCT).lower().split())
 
 
-def canonical(text: str, labels: frozenset[str] = LABELS) -> str:
-    """The text without formatting: lower-cased words and numbers in their order, header fields sorted and set off.
-
-    Header fields are those at the beginning, `label: value` with a label of `labels`, each on a line of its own or several on a line
-    between `|`. Characters are left as they are.
-    """
+def _header(text: str, labels: frozenset[str]) -> tuple[list[str], str]:
+    """The header fields that a text begins with, without formatting, and the rest of it."""
     lines, fields, n = text.splitlines(), [], 0
     for line in lines:
         if line.strip():
@@ -39,40 +38,95 @@ def canonical(text: str, labels: frozenset[str] = LABELS) -> str:
                 break
             fields += map(_tokens, parts)
         n += 1
-    rest = _tokens("\n".join(lines[n:]) if fields else text)
-    return "\x1e".join([*sorted(fields), rest]) if fields else rest
+    return (sorted(fields), "\n".join(lines[n:])) if fields else ([], text)
+
+
+def _key(fields: list[str], rest: str) -> str:
+    return "\x1e".join([*fields, rest])
+
+
+def canonical(text: str, labels: frozenset[str] = LABELS) -> str:
+    """The text without formatting: lower-cased words and numbers in their order, header fields sorted and set off.
+
+    Header fields are those at the beginning, `label: value` with a label of `labels`, each on a line of its own or several on a line
+    between `|`. Characters are left as they are.
+    """
+    fields, rest = _header(text, labels)
+    return _key(fields, _tokens(rest))
 
 
 def _digest(text: str) -> bytes:
     return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
 
 
-def keys(pieces: DataFrame, labels: frozenset[str] = LABELS) -> DataFrame:
-    """(id, key): the canonical form of each body; of a body in several pieces, the digests of its pieces, in order."""
+def sequence(items: list[str]) -> int:
+    """A digest of a sequence that those of its parts can be joined to (see joined)."""
+    h = 0
+    for x in items:
+        h = (h * _BASE + xxhash.xxh3_128_intdigest(x.encode("utf-8", "surrogatepass")) + 1) % _PRIME
+    return h
 
-    def of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            out: list = [[], [], [], []]
-            for i, p, body, tail in zip(*(b.column(c).to_pylist() for c in ("id", "piece", "body", "tail"))):
-                part = p > 0 or tail != ""
-                if part or WORD.search(body):
-                    key = canonical(body, labels)
-                    for o, x in zip(out, (i, p, part, _digest(key).hex() if part else key)):
-                        o.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.bool_(), pa.string()))], names=["id", "piece", "part", "key"])
 
-    return whole(pieces.mapInArrow(of, "id long, piece int, part boolean, key string"), ["key"])
+def joined(parts: list[tuple[int, int]]) -> int:
+    """The digest of a whole sequence from (length, digest) of its parts in order: the same however it was cut."""
+    h = 0
+    for n, x in parts:
+        h = (h * pow(_BASE, n, _PRIME) + x) % _PRIME
+    return h
 
 
-def whole(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per id from rows per piece: a text in several pieces gets, in each column, the hash of its pieces' digests in order.
+def _long(fields: list[str], n: int, h: int) -> str:
+    return _key(fields, f"\x00{n}:{h:032x}")
 
-    The rows are stored first, since both kinds of texts, and then the range sample and the sort, read them.
-    """
-    rows = cut(rows)
-    one = rows.where(~F.col("part")).select("id", *columns)
-    of = rows.where("part").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("piece", *columns))).alias("v"))
-    return one.unionByName(of.select("id", *(F.concat(F.lit("\x00"), F.sha2(F.concat_ws(",", F.col(f"v.{c}")), 256)).alias(c) for c in columns)))
+
+def keys(pieces: DataFrame, labels: frozenset[str] = LABELS, long: int = LONG) -> DataFrame:
+    """(id, key): the canonical form of each body; of a body of more than `long` words and numbers, a digest of them after its header
+    fields. The key depends on the words alone, not on whether the body came as one text or in pieces, or where pieces were cut."""
+
+    def of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            out: list = [[], [], [], []]
+            for i, p, part, body in zip(*(b.column(c).to_pylist() for c in ("id", "piece", "part", "body"))):
+                row = (i, p, None, body)  # of a text in pieces
+                if not part:
+                    if not WORD.search(body):
+                        continue
+                    fields, rest = _header(body, labels)
+                    w = _tokens(rest).split(" ")
+                    row = (i, -1, _key(fields, " ".join(w)) if len(w) <= long else _long(fields, len(w), sequence(w)), None)
+                for o, x in zip(out, row):
+                    o.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.string(), pa.string()))], names=["id", "piece", "key", "body"])
+
+    rows = cut(pieces.select("id", "piece", "part", "body").mapInArrow(of, "id long, piece int, key string, body string"))
+    one = rows.where("piece < 0").select("id", "key")
+    parts = rows.where("piece >= 0")
+
+    def first(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each piece as (header fields of the first, words, number of words, digest)."""
+        for b in it:
+            out: list = [[], [], [], [], [], [], []]
+            for i, p, low, body in zip(*(b.column(c).to_pylist() for c in ("id", "piece", "low", "body"))):
+                fields, rest = _header(body, labels) if p == low else ([], body)
+                w = _tokens(rest).split()
+                for o, x in zip(out, (i, p, "\x1e".join([*fields, ""]), " ".join(w) if len(w) <= long else None, len(w), f"{sequence(w):032x}", WORD.search(body) is not None)):
+                    o.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_()))], names=["id", "piece", "head", "rest", "n", "h", "word"])
+
+    low = parts.groupBy("id").agg(F.min("piece").alias("low"))
+    cutup = cut(parts.join(low, "id").select("id", "piece", "low", "body").mapInArrow(first, "id long, piece int, head string, rest string, n long, h string, word boolean"))
+    size = cutup.groupBy("id").agg(F.sum("n").alias("total"), F.max("word").alias("word")).where("word").drop("word")
+    # the words of a body that is not long, so the list is bounded
+    short = cutup.join(size.where(F.col("total") <= long), "id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("piece", "head", "rest"))).alias("v"))
+    short = short.select("id", F.concat(F.col("v")[0]["head"], F.array_join(F.filter(F.col("v.rest"), lambda x: x != ""), " ")).alias("key"))
+    huge = cutup.join(size.where(F.col("total") > long), "id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("piece", "head", "n", "h"))).alias("v"))
+
+    def together(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            got = [v[0]["head"] + f"\x00{sum(x['n'] for x in v)}:{joined([(x['n'], int(x['h'], 16)) for x in v]):032x}" for v in b.column("v").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(got, pa.string())], names=["id", "key"])
+
+    return one.unionByName(short).unionByName(huge.mapInArrow(together, "id long, key string"))
 
 
 def runs(records: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -129,28 +183,59 @@ def representatives(pieces: DataFrame, labels: frozenset[str] = LABELS) -> DataF
     return k.select("id").join(more.select("id"), "id", "left_anti").join(n, "id", "left").select("id", (F.coalesce("more", F.lit(0)) + 1).cast("long").alias("copies"))
 
 
-def look_alikes(pieces: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: texts that look the same while some letter or digit is written with other code points.
-
-    `look` is the digest of the fully mapped text, `bare` of the text with only blanks, invisible characters and punctuation mapped.
-    Only groups of one look and several spellings are joined; within one spelling no pairs are made.
-    """
+def _looks(pieces: DataFrame) -> DataFrame:
+    """(id, look, bare): digests of the lines of each body, fully mapped, and with only blanks, invisible characters and punctuation
+    mapped. Digests of pieces are joined, so they depend on the lines alone."""
 
     def of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            out: list = [[], [], [], [], []]
-            for i, p, body, tail in zip(*(b.column(c).to_pylist() for c in ("id", "piece", "body", "tail"))):
-                part = p > 0 or tail != ""
-                if part or WORD.search(body):
-                    for o, x in zip(out, (i, p, part, _digest(FOLD(body)).hex(), _digest(BARE(body)).hex())):
+            out: list = [[], [], [], [], [], []]
+            for i, p, part, body in zip(*(b.column(c).to_pylist() for c in ("id", "piece", "part", "body"))):
+                word = WORD.search(body) is not None
+                if part or word:
+                    look, bare = FOLD(body).split("\n"), BARE(body).split("\n")
+                    for o, x in zip(out, (i, p if part else -1, len(look), f"{sequence(look):032x}", f"{sequence(bare):032x}", word)):
                         o.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.string()))], names=["id", "piece", "part", "look", "bare"])
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.bool_()))], names=["id", "piece", "n", "look", "bare", "word"])
 
-    rows = whole(pieces.mapInArrow(of, "id long, piece int, part boolean, look string, bare string"), ["look", "bare"])
+    def together(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            lists = b.column("v").to_pylist()
+            cols = [pa.array([f"{joined([(x['n'], int(x[c], 16)) for x in v]):032x}" for v in lists], pa.string()) for c in ("look", "bare")]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *cols], names=["id", "look", "bare"])
+
+    rows = cut(pieces.select("id", "piece", "part", "body").mapInArrow(of, "id long, piece int, n long, look string, bare string, word boolean"))
+    # a row of bounded size for each piece of a text
+    parts = rows.where("piece >= 0").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("piece", "n", "look", "bare"))).alias("v"), F.max("word").alias("word")).where("word")
+    return rows.where("piece < 0").select("id", "look", "bare").unionByName(parts.mapInArrow(together, "id long, look string, bare string"))
+
+
+def _mixed(pieces: DataFrame) -> DataFrame:
+    """(id, look, bare) of the texts whose look has several spellings."""
+    rows = _looks(pieces)
     mixed = rows.groupBy("look").agg(F.min("bare").alias("lo"), F.max("bare").alias("hi")).where("lo <> hi").select("look")
-    rows = cut(rows.join(mixed, "look", "left_semi"))
-    a, b = rows.select("look", F.col("bare").alias("bare_a"), F.col("id").alias("id_a")), rows.select("look", F.col("bare").alias("bare_b"), F.col("id").alias("id_b"))
-    return a.join(b, "look").where("id_a < id_b AND bare_a <> bare_b").select("id_a", "id_b")
+    return cut(rows.join(mixed, "look", "left_semi"))
+
+
+def look_alikes(pieces: DataFrame) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: texts that look the same while some letter or digit is written with other code points.
+
+    Spellings of one look are paired first, then their texts, so copies of one spelling are never held against each other.
+    """
+    rows = _mixed(pieces)
+    spelt = rows.select("look", "bare").distinct()
+    two = spelt.select("look", F.col("bare").alias("x")).join(spelt.select("look", F.col("bare").alias("y")), "look").where("x < y")
+    a, b = rows.select("look", F.col("bare").alias("x"), F.col("id").alias("a")), rows.select("look", F.col("bare").alias("y"), F.col("id").alias("b"))
+    return two.join(a, ["look", "x"]).select("look", "y", "a").join(b, ["look", "y"]).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
+
+
+def look_classes(pieces: DataFrame) -> DataFrame:
+    """(id, class_id, spelling_id, spellings): of every text that looks like one of other spelling the smallest id of its look, the
+    smallest id of its spelling, and the number of spellings; no pairs are made."""
+    rows = _mixed(pieces)
+    spelt = rows.groupBy("look", "bare").agg(F.min("id").alias("spelling_id"))
+    looks = spelt.groupBy("look").agg(F.min("spelling_id").alias("class_id"), F.count("*").alias("spellings"))
+    return rows.join(spelt, ["look", "bare"]).join(looks, "look").select("id", "class_id", "spelling_id", "spellings")
 
 
 def consistent(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -19,24 +19,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and stored in the shared folder that the cluster names in spark.checkpoint.dir.
-
-    Where that is unset, as in tests on one machine, a temporary folder is set.
-    """
-    sc = df.sparkSession.sparkContext
+def _folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir, or one that was set before. Where neither is, a temporary folder
+    is set if all runs on one machine, as in tests; on a cluster, whose machines could not read it, that is an error."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if base is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="kashida-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="kashida-"))
+        sc.setCheckpointDir(base)
+    return base
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and stored in the shared folder."""
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A folder for written tables beside the checkpoints."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if base is None:
-        sc.setCheckpointDir(base := "file://" + tempfile.mkdtemp(prefix="kashida-"))
-    return os.path.join(base, name)
+    return os.path.join(_folder(spark), name)
 
 
 def holds(text: Column | str) -> Column:
@@ -45,19 +50,22 @@ def holds(text: Column | str) -> Column:
 
 
 def bodies(texts: DataFrame, verses: DataFrame, piece: int = PIECE, overlap: int = OVERLAP) -> DataFrame:
-    """(id, piece, body, tail): the body of every text that has one.
+    """(id, piece, part, body, tail): the body of every text that has one.
 
     texts: id, text_urdu; verses: text_id, couplet_index, misra1_urdu, misra2_urdu; further columns are ignored. The body is
     text_urdu; where that is null, the verse rows, each (text_id, couplet_index) once (of differing rows the smallest), in couplet
-    order, every non-blank misra on its own line. Texts with neither, and rows without id, give no row. A text of verses comes in
-    pieces of `piece` couplets, tail being the beginning of the next piece; all others are piece 0 with an empty tail.
+    order, every non-blank misra on its own line. Texts with neither, and rows without id, give no row. A text of verses that reaches
+    over several pieces of `piece` couplet numbers comes in these, part being true and tail the beginning of the next piece; all others
+    are one row with an empty tail.
     """
-    own = texts.where(F.col("id").isNotNull() & F.col("text_urdu").isNotNull()).select(F.col("id").cast("long").alias("id"), F.lit(0).alias("piece"), F.col("text_urdu").alias("body"), F.lit("").alias("tail"))
+    own = texts.where(F.col("id").isNotNull() & F.col("text_urdu").isNotNull()).select(F.col("id").cast("long").alias("id"), F.lit(0).alias("piece"), F.lit(False).alias("part"), F.col("text_urdu").alias("body"), F.lit("").alias("tail"))
     need = texts.where(F.col("id").isNotNull() & F.col("text_urdu").isNull()).select(F.col("id").cast("long").alias("id")).distinct()
     rows = verses.select(F.col("text_id").cast("long").alias("id"), F.coalesce(F.col("couplet_index"), F.lit(0)).alias("k"), F.col("misra1_urdu").alias("a"), F.col("misra2_urdu").alias("b"))
     n = F.greatest(F.floor(F.col("k") / piece), F.lit(0)).cast("int")
     both = F.when((n > 0) & (F.col("k") % piece < overlap), F.array(F.struct(n.alias("p"), F.lit(False).alias("t")), F.struct((n - 1).alias("p"), F.lit(True).alias("t")))).otherwise(F.array(F.struct(n.alias("p"), F.lit(False).alias("t"))))
-    rows = rows.join(need, "id", "left_semi").withColumn("at", F.explode(both))
+    rows = rows.join(need, "id", "left_semi")
+    reach = rows.groupBy("id").agg((F.min(n) < F.max(n)).alias("part"))
+    rows = rows.withColumn("at", F.explode(both))
     # a set: repeated rows collapse before the shuffle, so a group is bounded by the couplets of its piece
     got = rows.groupBy("id", F.col("at.p").alias("piece")).agg(F.array_sort(F.collect_set(F.struct(F.col("at.t").alias("t"), "k", "a", "b"))).alias("v"))
     once = "filter(v, (x, i) -> i = 0 OR x.t <> v[i - 1].t OR x.k <> v[i - 1].k)"
@@ -65,4 +73,4 @@ def bodies(texts: DataFrame, verses: DataFrame, piece: int = PIECE, overlap: int
     def lines(tail: str) -> Column:
         return F.expr(rf"array_join(filter(flatten(transform(filter({once}, x -> x.t = {tail}), x -> array(x.a, x.b))), l -> l IS NOT NULL AND l RLIKE '\\S'), '\n')")
 
-    return own.unionByName(got.select("id", "piece", lines("false").alias("body"), lines("true").alias("tail")))
+    return own.unionByName(got.select("id", "piece", lines("false").alias("body"), lines("true").alias("tail")).join(reach, "id").where("NOT part OR body <> ''").select("id", "piece", "part", "body", "tail"))

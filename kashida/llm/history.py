@@ -132,7 +132,7 @@ def read_items(items: DataFrame) -> DataFrame:
     """(id, piece, body, tail, couplet) of items (item_id, arrived_at, full_text, normalized_text): of an item sent several times, the
     first; body is full_text, or normalized_text where that is null; couplet the digest of the words of its first two non-blank lines."""
     one = items.where("item_id IS NOT NULL").groupBy(F.col("item_id").cast("long").alias("id")).agg(F.min_by(F.struct("full_text", "normalized_text"), F.struct(F.col("arrived_at").isNull(), "arrived_at", F.coalesce("full_text", F.lit("")))).alias("v"))
-    return one.select("id", F.lit(0).alias("piece"), F.coalesce("v.full_text", "v.normalized_text").alias("body"), F.lit("").alias("tail"), F.col("v.full_text").alias("full_text"))
+    return one.select("id", F.lit(0).alias("piece"), F.lit(False).alias("part"), F.coalesce("v.full_text", "v.normalized_text").alias("body"), F.lit("").alias("tail"), F.col("v.full_text").alias("full_text"))
 
 
 def couplets(rows: DataFrame, column: str, lines: bool) -> DataFrame:

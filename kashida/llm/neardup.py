@@ -19,13 +19,13 @@ _WORDS = "id long, piece int, part boolean, n int, digest binary, words string,
 
 
 def read_words(pieces: DataFrame, n: int, coordinates: int = 0) -> DataFrame:
-    """(id, piece, part, n, digest, words, sig) of (id, piece, body, tail): the words of each body in one string, the digest of that
+    """(id, piece, part, n, digest, words, sig) of (id, piece, part, body, tail): the words of each body in one string, the digest of that
     string, the number of distinct n-word sequences, and their signature. part marks texts in several pieces. Bodies without a word
     give no row; null bodies neither."""
 
     def of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rows = [(i, p, p > 0 or tail != "", w, words(tail)) for i, p, body, tail in zip(*(b.column(c).to_pylist() for c in ("id", "piece", "body", "tail"))) if (w := words(body))]
+            rows = [(i, p, part, w, words(tail)) for i, p, part, body, tail in zip(*(b.column(c).to_pylist() for c in ("id", "piece", "part", "body", "tail"))) if (w := words(body))]
             batch = Batch([r[3] for r in rows], [r[4] for r in rows], n)
             doc, s = batch.shingles()
             size = [0] * len(rows)
@@ -40,7 +40,7 @@ def read_words(pieces: DataFrame, n: int, coordinates: int = 0) -> DataFrame:
             cols = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], size, digest, text, sig]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.string(), pa.list_(pa.int64())))], names=["id", "piece", "part", "n", "digest", "words", "sig"])
 
-    return pieces.select("id", "piece", "body", "tail").where("id IS NOT NULL AND body IS NOT NULL").mapInArrow(of, _WORDS)
+    return pieces.select("id", "piece", "part", "body", "tail").where("id IS NOT NULL AND body IS NOT NULL").mapInArrow(of, _WORDS)
 
 
 @dataclass
@@ -149,7 +149,7 @@ def verified_giants(pairs: DataFrame, texts: Texts, others: DataFrame, n: int, t
 def near_duplicates(pieces: DataFrame, n: int = 5, threshold: float = 0.8, coordinates: int = 20, matches: int = 3) -> tuple[Texts, DataFrame]:
     """The distinct texts, and the links (a, b, likeness) between representatives of likeness >= threshold.
 
-    pieces: (id, piece, body, tail). The likeness of two texts is the Jaccard index of their sets of n-word sequences. A pair of
+    pieces: as of frames.bodies. The likeness of two texts is the Jaccard index of their sets of n-word sequences. A pair of
     likeness 0.6 agrees on 12 of 20 coordinates on average; fewer than 3 agree once in 200,000 pairs. Signatures decide which pairs
     are held against each other, the words decide the result. Empty tables give empty results.
     """

@@ -25,6 +25,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.look_alikes(_bodies(spark, d))
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    return copies.look_classes(_bodies(spark, d)).withColumnRenamed("id", "text_id")
+
+
 def p3_verses(spark: SparkSession, d: str) -> DataFrame:
     """Every verse row with its misras in the consistent form."""
     v = table(spark, d, "verses").select("text_id", "couplet_index", "misra1_urdu", "misra2_urdu")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from .copies import LABELS
-from .textforms import _singles
 
 # White space as Unicode defines it, in RE2's notation.
 BLANK = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -17,6 +16,66 @@ def _table(name: str, rules: dict[str, str]) -> str:
     return f"{name} AS MATERIALIZED (SELECT {_list(rules)} AS k, {_list(rules.values())} AS v)"
 
 
+# The characters of the test tables that look like others, written out here apart from the operators' own mapping:
+# Arabic presentation forms, after the letter they are forms of.
+FORMS = """
+آ ﺁﺂ
+ئ ﺉﺊﺋﺌ
+ا ﺍﺎ
+ب ﺏﺐﺑﺒ
+پ ﭖﭗﭘﭙ
+ت ﺕﺖﺗﺘ
+ٹ ﭦﭧﭨﭩ
+ث ﺙﺚﺛﺜ
+ج ﺝﺞﺟﺠ
+چ ﭺﭻﭼﭽ
+ح ﺡﺢﺣﺤ
+خ ﺥﺦﺧﺨ
+د ﺩﺪ
+ڈ ﮈﮉ
+ذ ﺫﺬ
+ر ﺭﺮ
+ڑ ﮌﮍ
+ز ﺯﺰ
+ژ ﮊﮋ
+س ﺱﺲﺳﺴ
+ش ﺵﺶﺷﺸ
+ص ﺹﺺﺻﺼ
+ض ﺽﺾﺿﻀ
+ط ﻁﻂﻃﻄ
+ظ ﻅﻆﻇﻈ
+ع ﻉﻊﻋﻌ
+غ ﻍﻎﻏﻐ
+ف ﻑﻒﻓﻔ
+ق ﻕﻖﻗﻘ
+ک ﮎﮏﮐﮑﻙﻚﻛﻜ
+گ ﮒﮓﮔﮕ
+ل ﻝﻞﻟﻠ
+م ﻡﻢﻣﻤ
+ن ﻥﻦﻧﻨ
+ں ﮞﮟ
+و ﻭﻮ
+ہ ﮦﮧﮨﮩﻩﻪﻫﻬ
+ھ ﮪﮫﮬﮭ
+ے ﮮﮯ
+ی ﯨﯩﯼﯽﯾﯿﻯﻰﻱﻲﻳﻴ
+لا ﻻﻼ
+ئا ﯪﯫ
+"""
+# Letters of other scripts, and the letters that they look like.
+ALIKE = ("ΑΒΕΗΙΚΜΝΟΡΤΥΧΖναιορυАВЕКМНОРСТХІЈЅаеорсухіјѕيىكهەة", "ABEHIKMNOPTYXZvaiopuABEKMHOPCTXIJSaeopcyxijsییکہہۃ")
+# Invisible characters, and blanks.
+UNSEEN, WIDE_BLANKS = "\u00ad\u061c\u200b\u200c\u200d\u200e\u200f\u2060\ufeff", "\u00a0\u2002\u2003\u2007\u2009\u200a\u202f\u3000"
+
+
+def _maps() -> tuple[dict[str, str], dict[str, str]]:
+    bare = {c: "" for c in UNSEEN} | {c: " " for c in WIDE_BLANKS}
+    wide = {chr(x + 0xFEE0): chr(x) for x in range(0x21, 0x7F)}
+    forms = {c: k for k, v in map(str.split, FORMS.strip().split("\n")) for c in v}
+    digits = {chr(0x660 + i): chr(0x6F0 + i) for i in range(10)}
+    return bare | forms | wide | digits | dict(zip(*ALIKE)), bare | {k: v for k, v in wide.items() if not v.isalnum()}
+
+
 def _mapped(text: str, name: str) -> str:
     """The characters of a text by a table of single ones."""
     return f"array_to_string([coalesce({name}.v[list_position({name}.k, c)], c) for c in string_split({text}, '')], '')"
@@ -27,7 +86,7 @@ def _fold(text: str) -> str:
     return f"replace(nfc_normalize({_mapped(text, 'full_map')}), 'ی' || chr(1620), 'ئ')"
 
 
-MAPS = f"{_table('full_map', _singles(letters=True))}, {_table('bare_map', _singles(letters=False))}"
+MAPS = ", ".join(map(_table, ("full_map", "bare_map"), _maps()))
 WORDS = r"'\p{L}[\p{L}\p{M}]*'"
 BODIES = r"""own AS (SELECT id, text_urdu AS body FROM texts WHERE text_urdu IS NOT NULL),
 vs AS (SELECT DISTINCT text_id, couplet_index, misra1_urdu AS a, misra2_urdu AS b FROM verses WHERE text_id IN (SELECT id FROM texts WHERE text_urdu IS NULL)),
@@ -77,6 +136,8 @@ SELECT n, term, count(*) AS occurrences, count(DISTINCT id) AS records FROM x GR
     "p6_neighbours": f"{_NEAR} SELECT a AS text_id, b AS neighbour, cosine, rank FROM k",
     "p3_found": rf"""WITH {MAPS}, {BODIES}, f AS (SELECT id, {_fold('body')} AS look, {_mapped('body', 'bare_map')} AS bare FROM bodies, full_map, bare_map WHERE regexp_matches(body, '\p{{L}}'))
 SELECT a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.look = b.look AND a.id < b.id AND a.bare <> b.bare""",
+    "p3_classes": rf"""WITH {MAPS}, {BODIES}, f AS (SELECT id, {_fold('body')} AS look, {_mapped('body', 'bare_map')} AS bare FROM bodies, full_map, bare_map WHERE regexp_matches(body, '\p{{L}}'))
+SELECT id AS text_id, min(id) OVER (PARTITION BY look) AS class_id, min(id) OVER (PARTITION BY look, bare) AS spelling_id, k AS spellings FROM f JOIN (SELECT look, count(DISTINCT bare) AS k FROM f GROUP BY look HAVING k > 1) USING (look)""",
     "p4_found": f"""WITH {MAPS}, {BODIES}, w AS (SELECT id, regexp_extract_all(lower({_fold('body')}), {WORDS}) AS w FROM bodies, full_map),
 s AS (SELECT id, list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)] END) AS g FROM w WHERE len(w) > 0),
 x AS (SELECT id, len(g) AS n, unnest(g) AS g FROM s), c AS (SELECT a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.id < b.id GROUP BY ALL)

@@ -66,6 +66,24 @@ def test_texts_in_pieces_are_compared(spark):
     assert pairs(copies.copies(b)) == [(1, 2)]
 
 
+def test_pieces_and_one_text_have_one_key(spark):
+    """However long a body is, and wherever it is cut: the words decide."""
+    poem = [(k + (k > 5), f"misra {k}", "dіl" if k == 9 else f"b{k}") for k in range(1, 12)]
+    cell = "Title: t\n" + "\n".join(f"{a}\n{b}" for _, a, b in poem)
+    v = verses(spark, [(1, 0, "title : T", None), *((1, *x) for x in poem), (2, 0, "title : T", None), *((2, k + 40, a, b) for k, a, b in poem)])
+    t = texts(spark, [(1, None), (2, None), (3, cell), (4, cell.upper()), (5, cell + " more"), (6, cell.replace("і", "i"))])
+    for long in (4, 1 << 16):
+        got = pairs(copies.runs(copies.keys(bodies(t, v, piece=3, overlap=1), long=long)))
+        assert got == [(1, 2), (1, 3), (1, 4)]
+    b = bodies(t.where("id <> 4"), verses(spark, [(i, k, a, x) for i, y in ((1, 0), (2, 3)) for k, a, x in [(y, "Title: t", None), *((z + 2 * y, *w) for z, *w in poem)]]), piece=3, overlap=1)
+    assert pairs(copies.look_alikes(b)) == [(1, 6), (2, 6), (3, 6)]
+
+
+def test_look_classes(spark):
+    rows = [(1, "dil hai"), (2, "dіl hai"), (3, "dil　hai"), (4, "Dil hai"), (5, "dil"), (6, "dil"), (7, "ｄil hai"), (8, None)]
+    assert pairs(copies.look_classes(bodies(texts(spark, rows), verses(spark)))) == [(1, 1, 1, 3), (2, 1, 2, 3), (3, 1, 1, 3), (7, 1, 7, 3)]
+
+
 def test_look_alikes(spark):
     rows = [(1, "dil hai"), (2, "dіl hai"), (3, "dil　hai​"), (4, "Dil hai"), (5, "dil  hai"), (6, "ｄil hai"), (7, None), (8, "1"), (9, "１"), (10, "")]
     assert pairs(copies.look_alikes(bodies(texts(spark, rows), verses(spark)))) == [(1, 2), (1, 6), (2, 3), (2, 6), (3, 6)]

@@ -33,6 +33,8 @@ def test_conflicts_are_refused():
         Transducer([("a", "b"), ("a", "c")])
     with pytest.raises(ValueError, match="changed again"):
         Transducer([("a", "b"), ("b", "c")])
+    with pytest.raises(ValueError, match="two outputs"):
+        Transducer([], [("a\u0300", "b"), ("a\u0300", "c")])
 
 
 @given(st.text(alphabet=st.sampled_from("aāَٓاآيیهہﻱٔ̄Ａ​　 \n.б")))
@@ -40,6 +42,22 @@ def test_twice_is_once(s):
     assert FOLD(FOLD(s)) == FOLD(s)
 
 
+def test_canonical_spellings_of_every_character():
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20)]):
+        assert FOLD(unicodedata.normalize("NFD", c)) == FOLD(c) == FOLD(FOLD(c))
+
+
+@pytest.mark.parametrize("s", ["e\u0302\u0323", "\u0628\u0651\u064e", "\u06cc\u064e\u0654", "\u0627\u200b\u0653", "\u1100\u1161\u11a8", "\uff76\uff9e"])
+def test_marks_in_any_order_and_invisibles_between(s):
+    turned = s[0] + s[:0:-1] if len(s) > 2 and unicodedata.combining(s[-1]) else s
+    assert FOLD(s) == FOLD(turned) == FOLD("\u2060".join(s)) == FOLD(unicodedata.normalize("NFC", s))
+
+
+def test_look_alikes():
+    for a, b in (("ۂ", "ۀ"), ("ة", "ۃ"), ("𝐀𝟏", "A1"), ("ɡԛαυօ", "gqauo"), ("ï", "ї"), ("a\ufe0f", "a")):
+        assert FOLD(a) == FOLD(b)
+
+
 @given(st.text())
 def test_any_text(s):
     f = FOLD(s)
