@@ -1,126 +1,183 @@
-"""Holding a new batch against everything accepted before (problem 1), by content-defined chunks."""
+"""Holding a new batch against everything accepted before (problem 1), by content-defined chunks in a persistent table."""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .frames import cut, shared_folder
-from .neardup import Texts, distinct_texts, exploded, read_words, verified
+from .graph import components
 from .shingles import Batch
 from .textforms import words
 
-#: A chunk ends after one word in so many.
-DIVISOR = 2
-#: Share of an item's words in chunks that another record has too, from which that record is held against it word by word. It decides
-#: only which cases are found cheaply: what chunks leave open is looked up by its word sequences, without loss (see lookup).
+#: A chunk ends after one word in so many, on average.
+DIVISOR = 6
+#: Share of an item's characters in chunks that another record has too, from which that record is held against it. It decides only
+#: which cases are found cheaply: what chunks leave open is looked up by its word sequences, without loss (see by_sequences).
 COVERAGE = 0.4
-#: Share of an item's words in its most frequent chunks, which are not looked up, so formulas of up to this share cost nothing.
+#: Share of an item's characters in its most frequent chunks, which are not looked up, so formulas of up to this share cost nothing.
 SKIPPED = 0.25
+#: Folders of the table, by key: a batch reads only those that its keys are in. A larger table needs more (a constructor's argument).
+BUCKETS = 64
+#: Bits of a batch's keys by which rows of the table are sifted before they are shuffled: 2 ** 17 rows of 64 bits are broadcast at most.
+_WORDS = 17
+#: Words that are turned into rows at once.
+_AT_ONCE = 500_000
+#: Records whose digests a task remembers, to write copies once.
+_SEEN = 1_000_000
+#: Rounds after which items that wait for others are decided group by group, and links, at most, in a group that one task decides.
+ROUNDS, GROUP = 12, 200_000
+
+#: Kinds of rows. SEQUENCE: key the hash of an n-word sequence, id the record, size its number of distinct sequences. CHUNK: key the
+#: hash of a chunk, size its characters. COUPLET: key and id the two halves of the digest of a first couplet's words. RECORD: key the
+#: digest of all words, size as for SEQUENCE; not kept in the table.
+SEQUENCE, CHUNK, COUPLET, RECORD = range(4)
+_ROWS = "kind int, key long, id long, size int"
+
+
+def profiles(pieces: DataFrame, n: int, divisor: int = DIVISOR, own: bool = False) -> DataFrame:
+    """(kind, key, id, size): SEQUENCE, CHUNK and RECORD rows of bodies (id, piece, part, body, tail), each key once per record.
+
+    A record's id is a digest of its words, so that copies are one record however often they come; a task writes them once. own: the
+    id is that of the row. A text in several pieces has an id of its own, no RECORD row, and sequences of size -1: pieces share some.
+    Null bodies and bodies without a word give no row.
+    """
 
-
-def chunk_rows(texts: DataFrame, divisor: int = DIVISOR) -> DataFrame:
-    """(id, chunk, size): the content-defined chunks of texts (id, words), each once per text, size in words times its occurrences."""
+    def rows(got: list[tuple]) -> Iterator[pa.RecordBatch]:
+        batch = Batch([g[1] for g in got], [g[2] for g in got], n)
+        doc, s = batch.shingles()
+        ids = np.array([g[0] for g in got], np.int64)
+        part = np.array([g[3] for g in got], bool)
+        count = np.bincount(doc, minlength=len(got)).astype(np.int32)
+        count[part] = -1
+        cdoc, chunk, size = batch.chunks(divisor)
+        order = np.lexsort((chunk, cdoc))
+        cdoc, chunk, size = cdoc[order], chunk[order], size[order]
+        once = np.ones(len(chunk), bool)
+        once[1:] = (cdoc[1:] != cdoc[:-1]) | (chunk[1:] != chunk[:-1])
+        whole = np.flatnonzero(~part)
+        digest = np.array([got[i][4] for i in whole], np.int64)
+        parts = ((SEQUENCE, s.view(np.int64), ids[doc], count[doc]), (CHUNK, chunk[once].view(np.int64), ids[cdoc[once]], size[once].astype(np.int32)), (RECORD, digest, ids[whole], count[whole]))
+        for kind, key, rid, size in parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(rid), pa.array(size)], names=["kind", "key", "id", "size"])
 
     def of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
+        seen: set[int] = set()
+        got: list[tuple] = []
+        held = 0
         for b in it:
-            ids = b.column("id").to_numpy(zero_copy_only=False)
-            doc, chunk, size = Batch([x.split(" ") for x in b.column("words").to_pylist()]).chunks(divisor)
-            order = np.lexsort((chunk, doc))
-            doc, chunk, size = doc[order], chunk[order], size[order]
-            at = np.flatnonzero(np.concatenate([np.ones(min(1, len(doc)), bool), (doc[1:] != doc[:-1]) | (chunk[1:] != chunk[:-1])]))
-            sizes = np.add.reduceat(size, at) if len(at) else size
-            yield pa.RecordBatch.from_arrays([pa.array(ids[doc[at]], pa.int64()), pa.array(chunk[at].view("int64")), pa.array(sizes, pa.int32())], names=["id", "chunk", "size"])
-
-    return texts.select("id", "words").where("words IS NOT NULL").mapInArrow(of, "id long, chunk long, size int")
+            for i, p, part, body, tail in zip(*(b.column(c).to_pylist() for c in ("id", "piece", "part", "body", "tail"))):
+                if not (w := words(body)):
+                    continue
+                digest = xxhash.xxh3_64_intdigest(" ".join(w)) - (1 << 63)
+                if part:
+                    got.append((i if own else xxhash.xxh3_64_intdigest(f"part {i}") - (1 << 63), w, words(tail), True, 0))
+                elif own or digest not in seen:
+                    if len(seen) >= _SEEN:
+                        seen.clear()
+                    seen.add(digest)
+                    got.append((i if own else digest, w, [], False, digest))
+                else:
+                    continue
+                held += len(w)
+                if held > _AT_ONCE:
+                    yield from rows(got)
+                    got, held = [], 0
+        if got:
+            yield from rows(got)
+
+    return pieces.select("id", "piece", "part", "body", "tail").where("id IS NOT NULL AND body IS NOT NULL").mapInArrow(of, _ROWS)
 
 
 class ChunkTable:
-    """The persistent chunk-to-record table: (chunk, id, size) of every accepted record, in a folder that all executors share.
+    """The persistent chunk-to-record table, in a folder that all executors share.
 
-    Beside it are the records' words and sizes, and the digests of first couplets, by which candidates are decided. A batch reads all
-    of it and appends what it accepts; texts accepted before are never read, hashed or chunked again.
+    Its rows (kind, key, id, size) lie in folders by key. A batch reads the folders of its own keys, sifts their rows by a bitmap of
+    these keys, and shuffles what is left; what it accepts is appended. Texts accepted before are never read, cut or hashed again:
+    likeness is computed from the hashes of their word sequences, which the table holds whole.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path, buckets
 
-    def append(self, texts: DataFrame) -> ChunkTable:
-        """Adds the chunks of texts (id, words)."""
-        chunk_rows(texts).write.mode("append").parquet(f"{self.path}/chunks")
-        return self
-
-    def add(self, texts: Texts, couplets: DataFrame) -> ChunkTable:
-        """Adds records, whose ids must be new, and the digests (couplet) of first couplets."""
-        self.append(texts.reps.where("words IS NOT NULL").select("id", "words").unionByName(texts.giants.select("id", "words")))
-        parts = {"reps": texts.reps.select("id", "n", "words"), "giants": texts.giants.select("id", "piece", "words"), "couplets": couplets.select("couplet")}
-        for name, rows in parts.items():
-            rows.write.mode("append").option("compression", "zstd").parquet(f"{self.path}/{name}")
+    def append(self, rows: DataFrame) -> ChunkTable:
+        """Adds rows (kind, key, id, size). They are balanced by folder, so that a key of very many records is written by several tasks."""
+        rows = rows.where(F.col("kind") != RECORD).select("kind", "key", "id", "size", F.pmod("key", F.lit(self.buckets)).cast("int").alias("bucket"))
+        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "kind", "key").write.partitionBy("bucket").mode("append").parquet(self.path)
         return self
 
     def rows(self) -> DataFrame:
-        return self._read("chunks", "id long, chunk long, size int")
-
-    def texts(self) -> Texts:
-        """The records so far, each once."""
-        reps = self._read("reps", "id long, n int, words string").withColumns({"sig": F.lit(None).cast("array<bigint>"), "copies": F.lit(1).cast("long")})
-        return Texts(reps, self.spark.createDataFrame([], "rep long, id long"), self._read("giants", "id long, piece int, words string"))
-
-    def couplets(self) -> DataFrame:
-        return self._read("couplets", "couplet binary")
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-
-
-def probe(items: DataFrame, history: DataFrame, coverage: float = COVERAGE, skipped: float = SKIPPED) -> DataFrame:
-    """(item, id): records of the history that may share at least `coverage` of an item's words, by chunks.
-
-    items: chunk rows (id, chunk, size) of the batch; history: chunk rows of what was accepted. Of each item the most frequent chunks, up to the share `skipped` of its words, are not looked
-    up: a record that covers more has another chunk in common. What they might add is counted in, so nothing above the bound is lost.
+        return self.spark.read.schema(_ROWS + ", bucket int").parquet(self.path)
+
+    def having(self, keys: DataFrame) -> DataFrame:
+        """The rows of the table whose (kind, key) is in keys, each once."""
+        buckets = [r.b for r in keys.select(F.pmod("key", F.lit(self.buckets)).cast("int").alias("b")).distinct().collect()]  # at most self.buckets
+        word, bit = f"cast(shiftrightunsigned(key, {64 - _WORDS}) as int)", f"cast(shiftrightunsigned(key, {58 - _WORDS}) & 63 as int)"
+        bits = keys.groupBy(F.expr(word).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("bits"))  # at most 2 ** _WORDS rows
+        rows = self.rows().where(F.col("bucket").isin(buckets)).select("kind", "key", "id", "size", F.expr(word).alias("word"))
+        some = rows.join(F.broadcast(bits), "word").where(F.expr(f"shiftrightunsigned(bits, {bit}) & 1 = 1")).select("kind", "key", "id", "size")
+        return some.join(keys.select("kind", "key").distinct(), ["kind", "key"], "left_semi").distinct()
+
+
+def stored(spark: SparkSession, path: str, history: DataFrame, verses: DataFrame, n: int, divisor: int = DIVISOR, buckets: int = BUCKETS) -> ChunkTable:
+    """A new table of the texts (bodies, see frames) and the first couplets of verse rows (text_id, couplet_index, misra1_urdu,
+    misra2_urdu)."""
+    parts = cut(profiles(history.where("part"), n, divisor))
+    size = parts.where(F.col("kind") == SEQUENCE).select("id", "key").distinct().groupBy("id").agg(F.count("*").cast("int").alias("n"))
+    parts = parts.distinct().join(size, "id").select("kind", "key", "id", F.when(F.col("kind") == SEQUENCE, F.col("n")).otherwise(F.col("size")).alias("size"))
+    opening = couplets(verses.where("couplet_index = 1").select(F.col("text_id").cast("long").alias("id"), F.concat_ws("\n", "misra1_urdu", "misra2_urdu").alias("m")), "m", lines=False).select("hi", "lo").distinct()
+    opening = opening.select(F.lit(COUPLET).alias("kind"), F.col("hi").alias("key"), F.col("lo").alias("id"), F.lit(0).alias("size"))
+    return ChunkTable(spark, path, buckets).append(profiles(history.where("NOT part"), n, divisor).unionByName(parts).unionByName(opening))
+
+
+def by_chunks(items: DataFrame, known: DataFrame, coverage: float = COVERAGE, skipped: float = SKIPPED) -> DataFrame:
+    """(item, id): records that share chunks of at least `coverage` of an item's characters.
+
+    items, known: CHUNK rows of the batch and of the table. Every chunk counts once. Of each item the most frequent chunks, up to the
+    share `skipped` of its characters, are not looked up; what they might add is counted in, so no record above the bound is lost.
     """
     skipped = min(skipped, coverage)
-    # only chunks that some item has matter; both uses below are by chunk, so they share the exchange, and nothing is stored
-    known = history.select("id", "chunk", "size").join(items.select("chunk").distinct(), "chunk", "left_semi")
-    often = known.groupBy("chunk").agg(F.count("*").alias("often"))
+    often = known.groupBy("key").agg(F.count("*").alias("often"))
     of = Window.partitionBy("id")
-    rows = items.join(often, "chunk", "left").withColumn("total", F.sum("size").over(of)).withColumn("below", F.sum("size").over(of.orderBy(F.desc_nulls_last("often"), "chunk")))
+    rows = items.select("key", "id", "size").join(often, "key", "left").withColumn("total", F.sum("size").over(of)).withColumn("below", F.sum("size").over(of.orderBy(F.desc_nulls_last("often"), "key")))
     rows = rows.withColumn("skipped", F.max(F.when(F.col("below") < skipped * F.col("total"), F.col("below")).otherwise(0)).over(of))
-    asked = rows.where((F.col("below") >= skipped * F.col("total")) & F.col("often").isNotNull()).select(F.col("id").alias("item"), "chunk", F.col("size").alias("own"), "total", "skipped")
-    hit = asked.join(known, "chunk")
-    shared = hit.groupBy("item", "id").agg(F.sum(F.least("own", "size")).alias("shared"), F.first("total").alias("total"), F.first("skipped").alias("skipped"))
+    asked = rows.where((F.col("below") >= skipped * F.col("total")) & F.col("often").isNotNull()).select(F.col("id").alias("item"), "key", "size", "total", "skipped")
+    shared = asked.join(known.select("key", "id"), "key").groupBy("item", "id").agg(F.sum("size").alias("shared"), F.first("total").alias("total"), F.first("skipped").alias("skipped"))
     return shared.where(F.col("shared") + F.col("skipped") >= coverage * F.col("total")).select("item", "id")
 
 
-def lookup(items: DataFrame, history: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
-    """(item, kind, id): every record whose likeness with an item may be `threshold`; none that has it is left out.
+def by_sequences(items: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """(item, batch, id): every record whose likeness with an item may be `threshold`; none that has it is left out.
 
-    items and history: (id, s), the distinct word sequences of the batch and of what was accepted; sizes: (id, n) of the history. kind
-    0: id is a record of the history; kind 1: an earlier item of the batch. A record of that likeness has at least threshold * n of an
-    item's n sequences, so it has one of any n - ceil(threshold * n) + 1 of them: these, the rarest, are looked up, so sequences that
-    many records have cost nothing unless an item has hardly any other. What the others might add is counted in.
+    items and known: SEQUENCE rows, known with a column batch: true if the record is an item too; then only pairs with an earlier
+    item are given. A record of that likeness has at least threshold * n of an item's n sequences, so it has one of any n -
+    ceil(threshold * n) + 1 of them: these, the rarest, are looked up, so sequences that many records have cost nothing unless an item
+    has hardly any other, and then only records of fitting size count. What the others might add is counted in.
     """
-    known = history.select(F.lit(0).alias("kind"), "id", "s").unionByName(items.select(F.lit(1).alias("kind"), "id", "s"))
-    known = known.join(items.select("s").distinct(), "s", "left_semi")
-    often = known.groupBy("s").agg(F.count("*").alias("often"))
+    often = known.groupBy("key").agg(F.count("*").alias("often"))
     of = Window.partitionBy("id")
-    rows = items.join(often, "s").withColumn("total", F.count("*").over(of)).withColumn("at", F.row_number().over(of.orderBy("often", "s")))
+    rows = items.select("key", "id", "size").join(often, "key").withColumn("at", F.row_number().over(of.orderBy("often", "key")))
     # likeness is compared in floating point, so a bound that is whole must not be rounded up
-    rows = rows.withColumn("skipped", F.greatest(F.ceil(threshold * F.col("total") - 1e-6) - 1, F.lit(0)))
-    asked = rows.where((F.col("at") <= F.col("total") - F.col("skipped")) & (F.col("often") > 1)).select(F.col("id").alias("item"), "s", "total", "skipped")
-    hit = asked.join(known, "s").where("kind = 0 OR id < item")
-    shared = hit.groupBy("item", "kind", "id").agg(F.count("*").alias("shared"), F.first("total").alias("total"), F.first("skipped").alias("skipped"))
-    own = rows.groupBy("id").agg(F.first("total").alias("n"))
-    sizes = sizes.select(F.lit(0).alias("kind"), "id", F.col("n").cast("long").alias("n")).unionByName(own.select(F.lit(1).alias("kind"), "id", "n"))
-    need = threshold / (1 + threshold) * (F.col("total") + F.col("n")) - 1e-6
-    return shared.join(sizes, ["kind", "id"]).where(F.col("shared") + F.col("skipped") >= need).select("item", "kind", "id")
+    rows = rows.withColumn("skipped", F.greatest(F.ceil(threshold * F.col("size") - 1e-6) - 1, F.lit(0))).withColumn("found", F.count("*").over(of))
+    # sequences that no record has come first, but are not in `rows`
+    asked = rows.where((F.col("at") + F.col("size") - F.col("found") <= F.col("size") - F.col("skipped"))).select(F.col("id").alias("item"), "key", F.col("size").alias("ni"), "skipped")
+    fit = (F.least("size", "ni") >= threshold * F.greatest("size", "ni") - 1e-6) & (~F.col("batch") | (F.col("id") < F.col("item")))
+    shared = asked.join(known.select("key", "id", "size", "batch"), "key").where(fit).groupBy("item", "batch", "id").agg(F.count("*").alias("shared"), F.first("size").alias("n"), F.first("ni").alias("ni"), F.first("skipped").alias("skipped"))
+    need = threshold / (1 + threshold) * (F.col("n") + F.col("ni")) - 1e-6
+    return shared.where(F.col("shared") + F.col("skipped") >= need).select("item", "batch", "id")
+
+
+def alike(pairs: DataFrame, items: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """(item, id) of the pairs whose likeness is at least threshold, counted on all their sequences. items, known: SEQUENCE rows."""
+    both = pairs.join(known.select("id", "key", F.col("size").alias("n")), "id").join(items.select(F.col("id").alias("item"), "key", F.col("size").alias("ni")), ["item", "key"])
+    both = both.groupBy("item", "id").agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("ni").alias("ni"))
+    return both.where(F.col("both") / (F.col("n") + F.col("ni") - F.col("both")) >= threshold).select("item", "id")
 
 
 def first_lines(text: str | None) -> list[str]:
@@ -129,126 +186,126 @@ def first_lines(text: str | None) -> list[str]:
 
 
 def read_items(items: DataFrame) -> DataFrame:
-    """(id, piece, body, tail, couplet) of items (item_id, arrived_at, full_text, normalized_text): of an item sent several times, the
-    first; body is full_text, or normalized_text where that is null; couplet the digest of the words of its first two non-blank lines."""
+    """(id, piece, part, body, tail, full_text) of items (item_id, arrived_at, full_text, normalized_text): of an item sent several
+    times, the first; body is full_text, or normalized_text where that is null."""
     one = items.where("item_id IS NOT NULL").groupBy(F.col("item_id").cast("long").alias("id")).agg(F.min_by(F.struct("full_text", "normalized_text"), F.struct(F.col("arrived_at").isNull(), "arrived_at", F.coalesce("full_text", F.lit("")))).alias("v"))
     return one.select("id", F.lit(0).alias("piece"), F.lit(False).alias("part"), F.coalesce("v.full_text", "v.normalized_text").alias("body"), F.lit("").alias("tail"), F.col("v.full_text").alias("full_text"))
 
 
 def couplets(rows: DataFrame, column: str, lines: bool) -> DataFrame:
-    """(id, couplet): the digest of the words of the column (lines: of its first two non-blank lines); none without a word."""
+    """(id, hi, lo): the digest of the words of the column (lines: of its first two non-blank lines), in two halves; none without a
+    word."""
 
     def of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            ids, out = [], []
-            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if w := first_lines(x) if lines else words(x):
-                    ids.append(i)
-                    out.append(xxhash.xxh3_128_digest(" ".join(w).encode()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["id", "couplet"])
+            got = [(i, xxhash.xxh3_128_digest(" ".join(w))) for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (w := first_lines(x) if lines else words(x))]
+            halves = np.frombuffer(b"".join(d for _, d in got), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["id", "hi", "lo"])
 
-    return rows.select("id", column).where(F.col(column).isNotNull()).mapInArrow(of, "id long, couplet binary")
+    return rows.select("id", column).where(F.col(column).isNotNull()).mapInArrow(of, "id long, hi long, lo long")
 
 
-def new_items(items: DataFrame, history: DataFrame, verses: DataFrame, n: int = 5, threshold: float = 0.8, coverage: float = COVERAGE, chunks: ChunkTable | None = None) -> tuple[DataFrame, Texts, ChunkTable]:
-    """((id, status) of every item, history's distinct texts, the chunk table).
+def new_items(items: DataFrame, history: DataFrame, verses: DataFrame, n: int = 5, threshold: float = 0.8, coverage: float = COVERAGE, table: ChunkTable | None = None) -> tuple[DataFrame, ChunkTable]:
+    """((id, status) of every item, the chunk table).
 
-    items: (item_id, arrived_at, full_text, normalized_text); history: pieces (id, piece, body, tail) of every accepted text; verses:
-    (text_id, couplet_index, misra1_urdu, misra2_urdu). Items are taken in item_id order; status is 'case' if an item is at least
-    `threshold` alike (Jaccard index of n-word sequences) to a text or to an earlier accepted item, or has the words of its first
-    couplet in common with one; else 'accepted'. Stored hashes are not used, for they may be wrong. An item without words is accepted.
-    chunks: the table that an earlier call returned, which is read instead of history and verses; without one it is made from them.
-    Accepted items are appended to it under ids of their own, which follow those that it has, so the next batch is held against them.
+    items: (item_id, arrived_at, full_text, normalized_text); history: bodies (see frames) of every accepted text; verses: (text_id,
+    couplet_index, misra1_urdu, misra2_urdu). Items are taken in item_id order; status is 'case' if an item is at least `threshold`
+    alike (Jaccard index of n-word sequences) to a text or to an earlier accepted item, or has the words of its first couplet in common
+    with one; else 'accepted'. Stored hashes are not used, for they may be wrong; words are compared by 64-bit hashes of their
+    sequences. An item without words is accepted, and never matches. Null ids are left out.
+    table: what an earlier call returned; then neither history nor verses are read. Accepted items are appended to it, so the next
+    batch is held against them.
     """
     spark = items.sparkSession
-    if chunks is None:
-        old = distinct_texts(cut(read_words(history, n)), n)
-        opening = couplets(verses.where("couplet_index = 1").select(F.col("text_id").cast("long").alias("id"), F.concat_ws("\n", "misra1_urdu", "misra2_urdu").alias("m")).distinct(), "m", lines=False)
-        chunks = ChunkTable(spark, shared_folder(spark, f"chunks-{uuid.uuid4().hex}")).add(old, opening.select("couplet").distinct())
-    else:
-        old = chunks.texts()
+    if table is None:
+        table = stored(spark, shared_folder(spark, f"chunks-{uuid.uuid4().hex}"), history, verses, n)
     read = cut(read_items(items))
+    found = cut(profiles(read, n, own=True))
     line = couplets(read, "full_text", lines=True)
-    new = read.select("id").join(read_words(read, n).select("id", "n", "digest", "words"), "id", "left").join(line, "id", "left")
-    new = cut(new)
+    new = cut(read.select("id").join(found.where(F.col("kind") == RECORD).select("id", F.col("key").alias("digest")), "id", "left").join(line, "id", "left"))
     # equal words and equal first couplets: the first stands for all, whatever is decided on it
-    first = new.where("digest IS NOT NULL").groupBy("digest", "couplet").agg(F.min("id").alias("id"), F.first("words").alias("words"), F.first("n").alias("n"))
-    first = cut(first)
-    mine = cut(chunk_rows(first))
-    pairs = probe(mine, chunks.rows(), coverage)
-    size = first.select(F.col("id").alias("item"), F.col("n").alias("ni"))
-    fit = F.least("n", "ni") >= threshold * F.greatest("n", "ni")
-    back = cut(pairs.join(old.reps.select("id", "n"), "id").join(size, "item").where(fit).select(F.col("item").alias("a"), F.col("id").alias("b")))
-    known = _hits(back, first, old, n, threshold)
-    known = known.unionByName(first.join(chunks.couplets(), "couplet", "left_semi").select("id")).distinct()
-    known = cut(known)
+    first = cut(new.where("digest IS NOT NULL").groupBy("digest", "hi", "lo").agg(F.min("id").alias("id")))
+    lines = first.where("hi IS NOT NULL").select(F.lit(COUPLET).alias("kind"), F.col("hi").alias("key"), "id", F.lit(0).alias("size"))
+    mine = cut(found.where(F.col("kind") != RECORD).join(first.select("id"), "id", "left_semi").select("kind", "key", "id", "size").unionByName(lines))
+    known = cut(table.having(mine.select("kind", "key").distinct()))
+    chunks, sequences = (mine.where(F.col("kind") == k) for k in (CHUNK, SEQUENCE))
+    old_chunks, old = (known.where(F.col("kind") == k).select("key", "id", "size") for k in (CHUNK, SEQUENCE))
+    lines = first.join(known.where(F.col("kind") == COUPLET).select(F.col("key").alias("hi"), F.col("id").alias("lo")), ["hi", "lo"], "left_semi").select("id")
+    case = cut(alike(by_chunks(chunks, old_chunks, coverage), sequences, old, threshold).select(F.col("item").alias("id")).unionByName(lines).distinct())
     # what chunks left open: every record that may be alike is found by word sequences, none by chance
-    left = cut(first.join(known, "id", "left_anti"))
-    past = exploded(old.reps.where("words IS NOT NULL").select("id", F.lit(0).alias("piece"), "words"), False, n, whole=True).unionByName(exploded(old.giants, True, n))
-    asked = cut(exploded(left.select("id", F.lit(0).alias("piece"), "words"), False, n, whole=True))
-    pairs = cut(lookup(asked, past, old.reps.select("id", "n"), threshold))
-    known = cut(known.unionByName(_hits(pairs.where("kind = 0").select(F.col("item").alias("a"), F.col("id").alias("b")), left, old, n, threshold)).distinct())
-    rest = cut(left.join(known, "id", "left_anti").select("id", "couplet"))
-    ahead = pairs.where("kind = 1").select(F.col("id").alias("a"), F.col("item").alias("b")).join(rest.select(F.col("id").alias("a")), "a").join(rest.select(F.col("id").alias("b")), "b")
-    links = cut(verified(ahead, left, left, n, threshold).select(F.col("a").alias("lo"), F.col("b").alias("hi")))
-    status = in_order(rest, links)
-    _accept(first.join(status.where("status = 'accepted'").select("id"), "id"), old, chunks)
-    status = status.unionByName(known.select("id", F.lit("case").alias("status")))
-    stands = first.select(F.col("digest").alias("g"), F.col("couplet").alias("c"), F.col("id").alias("rep"))
-    all_items = new.join(stands, (F.col("digest") == F.col("g")) & F.col("couplet").eqNullSafe(F.col("c")), "left")
-    out = all_items.join(status.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.when(F.col("rep") < F.col("id"), "case").otherwise(F.coalesce("status", F.lit("accepted"))).alias("status"))
-    return cut(out), old, chunks
-
-
-def _accept(items: DataFrame, old: Texts, chunks: ChunkTable) -> None:
-    """Appends accepted items (id, n, words, couplet) to the table."""
-    items = cut(items)
-    least = items.agg(F.min("id")).first()[0]  # one number, as is the next
-    if least is None:
-        return
-    last = old.reps.agg(F.max("id")).first()[0]
-    own = items.withColumn("id", F.col("id") - least + (0 if last is None else last + 1))
-    chunks.add(Texts(own, own.select(F.col("id").alias("rep"), "id").limit(0), own.select("id", F.lit(0).alias("piece"), "words").limit(0)), own.where("couplet IS NOT NULL").select("couplet").distinct())
-
-
-def _hits(pairs: DataFrame, items: DataFrame, old: Texts, n: int, threshold: float) -> DataFrame:
-    """(id) of items a that are alike to a text b of the history, of pairs (a, b)."""
-    known = verified(pairs, items, old.reps, n, threshold).select(F.col("a").alias("id"))
-    return known if old.giants.isEmpty() else known.unionByName(_giant_hits(pairs, items, old, n, threshold))
-
-
-def _giant_hits(pairs: DataFrame, items: DataFrame, old: Texts, n: int, threshold: float) -> DataFrame:
-    """(id) of items alike to a text in several pieces; sequences are joined row by row."""
-    pairs = pairs.join(old.giants.select(F.col("id").alias("b")).distinct(), "b", "left_semi")
-    s = exploded(old.giants.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi"), True, n)
-    t = exploded(items.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select("id", F.lit(0).alias("piece"), "words"), False, n)
-    size = {x: y.groupBy("id").agg(F.count("*").alias(f"k{x}")).withColumnRenamed("id", x) for x, y in (("b", s), ("a", t))}
-    both = pairs.join(t.withColumnRenamed("id", "a"), "a").join(s.withColumnRenamed("id", "b"), ["b", "s"]).groupBy("a", "b").agg(F.count("*").alias("both"))
-    return both.join(size["a"], "a").join(size["b"], "b").where(F.col("both") >= threshold * (F.col("ka") + F.col("kb") - F.col("both"))).select(F.col("a").alias("id"))
-
-
-def in_order(nodes: DataFrame, links: DataFrame, most: int = 10_000) -> DataFrame:
+    left = cut(sequences.join(case, "id", "left_anti"))
+    near = cut(by_sequences(left, old.withColumn("batch", F.lit(False)).unionByName(left.select("key", "id", "size", F.lit(True).alias("batch"))), threshold))
+    case = cut(case.unionByName(alike(near.where("NOT batch").select("item", "id"), left, old, threshold).select(F.col("item").alias("id"))).distinct())
+    rest = cut(first.join(case, "id", "left_anti").select("id", "digest", "hi", "lo"))
+    ahead = near.where("batch").select("item", "id").join(rest.select(F.col("id").alias("item")), "item", "left_semi").join(rest.select("id"), "id", "left_semi")
+    links = cut(alike(ahead, left, left, threshold).select(F.col("id").alias("lo"), F.col("item").alias("hi")))
+    status = cut(in_order(rest.select("id", F.when(F.col("hi").isNotNull(), F.concat_ws(" ", "hi", "lo")).alias("couplet")), links))
+    taken = rest.join(status.where("status = 'accepted'").select("id"), "id", "left_semi")
+    kept = mine.where(F.col("kind") != COUPLET).join(taken.select("id", "digest"), "id").select("kind", "key", F.col("digest").alias("id"), "size")
+    table.append(kept.unionByName(taken.where("hi IS NOT NULL").select(F.lit(COUPLET).alias("kind"), F.col("hi").alias("key"), F.col("lo").alias("id"), F.lit(0).alias("size")).distinct()))
+    status = status.unionByName(case.select("id", F.lit("case").alias("status")))
+    same = F.struct("digest", "hi", "lo")
+    stands = first.select(same.alias("g"), F.col("id").alias("rep"))
+    out = new.withColumn("s", same).join(stands, F.col("s").eqNullSafe(F.col("g")), "left").join(status.withColumnRenamed("id", "rep"), "rep", "left")
+    return cut(out.select("id", F.when(F.col("rep") < F.col("id"), "case").otherwise(F.coalesce("status", F.lit("accepted"))).alias("status"))), table
+
+
+def in_order(nodes: DataFrame, links: DataFrame, rounds: int = ROUNDS, group: int = GROUP) -> DataFrame:
     """(id, status): nodes (id, couplet) decided in id order. A node is a case if a link (lo, hi) leads to it from an accepted node, or
     an accepted node of smaller id has its couplet; else it is accepted.
 
     Each round decides every node whose earlier neighbours are decided, or of which one is accepted; of the nodes of one couplet only
     the smallest undecided and the smallest accepted id matter, so no pairs are made within a couplet. Nodes without links or shared
-    couplets are accepted at once.
+    couplets are accepted at once. What is open after some rounds hangs on long chains: each connected group of up to `group` links is
+    then decided by one task, in order; greater ones go on in rounds. Every round decides the smallest open node at least.
     """
     shared = nodes.where("couplet IS NOT NULL").groupBy("couplet").agg(F.count("*").alias("k")).where("k > 1").select("couplet")
     linked = links.select(F.explode(F.array("lo", "hi")).alias("id")).distinct()
     busy = nodes.join(linked, "id", "left_semi").unionByName(nodes.join(shared, "couplet", "left_semi").select("id", "couplet")).distinct()
     state = cut(busy.select("id", "couplet", F.lit("open").alias("status")))
     free = nodes.join(state.select("id"), "id", "left_anti").select("id", F.lit("accepted").alias("status"))
-    for _ in range(most):
-        if state.where("status = 'open'").isEmpty():
-            break
+    done = 0
+    while not state.where("status = 'open'").isEmpty():
         by = links.join(state.select(F.col("id").alias("lo"), "status"), "lo").groupBy(F.col("hi").alias("id")).agg(F.max(F.col("status") == "accepted").alias("hit"), F.max(F.col("status") == "open").alias("wait"))
         low = state.where("couplet IS NOT NULL").groupBy("couplet").agg(F.min(F.when(F.col("status") == "open", F.col("id"))).alias("open"), F.min(F.when(F.col("status") == "accepted", F.col("id"))).alias("taken"))
         hit = F.coalesce("hit", F.lit(False)) | F.coalesce(F.col("taken") < F.col("id"), F.lit(False))
         wait = F.coalesce("wait", F.lit(False)) | F.coalesce(F.col("open") < F.col("id"), F.lit(False))
         now = F.when(F.col("status") != "open", F.col("status")).when(hit, "case").when(wait, "open").otherwise("accepted")
         state = cut(state.join(by, "id", "left").join(low, "couplet", "left").select("id", "couplet", now.alias("status")))
-    else:
-        raise RuntimeError(f"in_order: not done after {most} rounds")
+        done += 1
+        if done % rounds == 0:
+            state = cut(_groups(state.select("id", "couplet", "status"), links, group))
     return free.unionByName(state.select("id", "status"))
+
+
+def _groups(state: DataFrame, links: DataFrame, group: int) -> DataFrame:
+    """The state, with the open nodes of all connected groups of bounded size decided."""
+    taken = state.where("status = 'accepted' AND couplet IS NOT NULL").groupBy("couplet").agg(F.min("id").alias("taken"))
+    hit = links.join(state.where("status = 'accepted'").select(F.col("id").alias("lo")), "lo", "left_semi").select(F.col("hi").alias("id")).distinct().withColumn("hit", F.lit(True))
+    is_open = cut(state.where("status = 'open'").join(hit, "id", "left").join(taken, "couplet", "left").select("id", "couplet", (F.coalesce("hit", F.lit(False)) | F.coalesce(F.col("taken") < F.col("id"), F.lit(False))).alias("hit")))
+    inner = cut(links.join(is_open.select(F.col("id").alias("lo")), "lo", "left_semi").join(is_open.select(F.col("id").alias("hi")), "hi", "left_semi"))
+    star = is_open.where("couplet IS NOT NULL").groupBy("couplet").agg(F.min("id").alias("a"))
+    of = cut(components(inner.select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(is_open.join(star, "couplet").select("a", F.col("id").alias("b")))))
+    rows = is_open.join(of, "id").select("component", "id", F.lit(None).cast("long").alias("lo"), "couplet", "hit")
+    rows = cut(rows.unionByName(inner.join(of.withColumnRenamed("id", "hi"), "hi").select("component", F.col("hi").alias("id"), "lo", F.lit(None).cast("string").alias("couplet"), F.lit(False).alias("hit"))))
+    small = rows.join(rows.groupBy("component").agg(F.count("*").alias("k")).where(F.col("k") <= group).select("component"), "component", "left_semi")
+
+    def decide(key: tuple, t: pa.Table) -> pa.Table:
+        ahead: dict[int, list[int]] = {}
+        node: dict[int, tuple] = {}
+        for i, lo, c, h in zip(*(t.column(x).to_pylist() for x in ("id", "lo", "couplet", "hit"))):
+            if lo is None:
+                node[i] = (c, h)
+            else:
+                ahead.setdefault(i, []).append(lo)
+        accepted: set[int] = set()
+        lines: set[str] = set()
+        for i in sorted(node):
+            c, h = node[i]
+            if not (h or c in lines or any(x in accepted for x in ahead.get(i, ()))):
+                accepted.add(i)
+                lines |= {c} - {None}
+        return pa.table({"id": pa.array(list(node), pa.int64()), "now": pa.array(["accepted" if i in accepted else "case" for i in node], pa.string())})
+
+    now = small.groupBy("component").applyInArrow(decide, "id long, now string")
+    return state.join(now, "id", "left").select("id", "couplet", F.coalesce("now", "status").alias("status"))

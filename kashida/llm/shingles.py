@@ -40,7 +40,8 @@ class Batch:
         self.own = np.array([len(w) for w in words], dtype=np.int64)
         self.full = self.own + np.array([len(t) for t in extra], dtype=np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.full)])
-        self.h = word_hashes([x for w, t in zip(words, extra) for x in (*w, *t)])
+        flat = [x for w, t in zip(words, extra) for x in (*w, *t)]
+        self.h, self.length = word_hashes(flat), np.array(list(map(len, flat)), dtype=np.int64)
 
     def shingles(self) -> tuple[np.ndarray, np.ndarray]:
         """(text number, hash) of the distinct n-word sequences that begin in each text, ordered by both. A text of fewer than n
@@ -71,7 +72,7 @@ class Batch:
         return doc[first], s[first]
 
     def chunks(self, divisor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text number, chunk hash, words) of content-defined chunks: a chunk ends after a word where the rolling hash over two words
+        """(text number, chunk hash, characters) of content-defined chunks: a chunk ends after a word where the rolling hash over two words
         is a multiple of divisor, and at the end of the text."""
         total = len(self.h)
         if not total:
@@ -87,7 +88,7 @@ class Batch:
         at = np.flatnonzero(begin)
         size = np.diff(np.concatenate([at, [total]]))
         pos = np.arange(total) - np.repeat(at, size)
-        return doc[at], mix(np.add.reduceat(mix(self.h + pos.astype(_U) * _U(0xD1B54A32D192ED03)), at)), size
+        return doc[at], mix(np.add.reduceat(mix(self.h + pos.astype(_U) * _U(0xD1B54A32D192ED03)), at)), np.add.reduceat(self.length, at)
 
 
 def signatures(doc: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
