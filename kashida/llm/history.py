@@ -109,7 +109,7 @@ class ChunkTable:
     def append(self, rows: DataFrame) -> ChunkTable:
         """Adds rows (kind, key, id, size). They are balanced by folder, so that a key of very many records is written by several tasks."""
         rows = rows.where(F.col("kind") != RECORD).select("kind", "key", "id", "size", F.pmod("key", F.lit(self.buckets)).cast("int").alias("bucket"))
-        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "kind", "key").write.partitionBy("bucket").mode("append").parquet(self.path)
+        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket").write.partitionBy("bucket").mode("append").parquet(self.path)
         return self
 
     def rows(self) -> DataFrame:
@@ -122,7 +122,8 @@ class ChunkTable:
         bits = keys.groupBy(F.expr(word).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("bits"))  # at most 2 ** _WORDS rows
         rows = self.rows().where(F.col("bucket").isin(buckets)).select("kind", "key", "id", "size", F.expr(word).alias("word"))
         some = rows.join(F.broadcast(bits), "word").where(F.expr(f"shiftrightunsigned(bits, {bit}) & 1 = 1")).select("kind", "key", "id", "size")
-        return some.join(keys.select("kind", "key").distinct(), ["kind", "key"], "left_semi").distinct()
+        # an inner join stays above the sieve; a semi-join would be pushed below it, and shuffle the whole table
+        return some.join(keys.select("kind", "key").distinct(), ["kind", "key"]).select("kind", "key", "id", "size").distinct()
 
 
 def stored(spark: SparkSession, path: str, history: DataFrame, verses: DataFrame, n: int, divisor: int = DIVISOR, buckets: int = BUCKETS) -> ChunkTable:
