@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .frames import cut, shared_folder
 from .graph import components
 from .shingles import Batch
-from .textforms import words
+from .textforms import FOLD, WORD, words
 
 #: A chunk ends after one word in so many, on average.
 DIVISOR = 6
@@ -36,8 +36,9 @@ ROUNDS, GROUP = 12, 200_000
 
 #: Kinds of rows. SEQUENCE: key the hash of an n-word sequence, id the record, size its number of distinct sequences. CHUNK: key the
 #: hash of a chunk, size its characters. COUPLET: key and id the two halves of the digest of a first couplet's words. RECORD: key the
-#: digest of all words, size as for SEQUENCE; not kept in the table.
-SEQUENCE, CHUNK, COUPLET, RECORD = range(4)
+#: digest of all words, size as for SEQUENCE, 0 without words. OTHER_HALF: of an item, whose COUPLET row has its own id. The last two are
+#: not kept in the table.
+SEQUENCE, CHUNK, COUPLET, RECORD, OTHER_HALF = range(5)
 _ROWS = "kind int, key long, id long, size int"
 
 
@@ -45,9 +46,13 @@ def profiles(pieces: DataFrame, n: int, divisor: int = DIVISOR, own: bool = Fals
     """(kind, key, id, size): SEQUENCE, CHUNK and RECORD rows of bodies (id, piece, part, body, tail), each key once per record.
 
     A record's id is a digest of its words, so that copies are one record however often they come; a task writes them once. own: the
-    id is that of the row. A text in several pieces has an id of its own, no RECORD row, and sequences of size -1: pieces share some.
-    Null bodies and bodies without a word give no row.
+    id is that of the row, every row has a RECORD, and the first couplet of full_text is read too. A text in several pieces has an id of
+    its own, no RECORD row, and sequences of size -1: pieces share some. Null bodies and bodies without a word give no other row.
     """
+    columns = ["id", "piece", "part", "body", "tail", *(["full_text"] if own else [])]
+
+    def plain(got: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int32(), pa.int64(), pa.int64(), pa.int32()))], names=["kind", "key", "id", "size"])
 
     def rows(got: list[tuple]) -> Iterator[pa.RecordBatch]:
         batch = Batch([g[1] for g in got], [g[2] for g in got], n)
@@ -72,8 +77,10 @@ def profiles(pieces: DataFrame, n: int, divisor: int = DIVISOR, own: bool = Fals
         got: list[tuple] = []
         held = 0
         for b in it:
-            for i, p, part, body, tail in zip(*(b.column(c).to_pylist() for c in ("id", "piece", "part", "body", "tail"))):
-                if not (w := words(body)):
+            if own and (more := [x for i, full, body in zip(*(b.column(c).to_pylist() for c in ("id", "full_text", "body"))) for x in _item(i, full, body)]):
+                yield plain(more)
+            for i, part, body, tail in zip(*(b.column(c).to_pylist() for c in ("id", "part", "body", "tail"))):
+                if not body or not (w := words(body)):
                     continue
                 digest = xxhash.xxh3_64_intdigest(" ".join(w)) - (1 << 63)
                 if part:
@@ -92,7 +99,21 @@ def profiles(pieces: DataFrame, n: int, divisor: int = DIVISOR, own: bool = Fals
         if got:
             yield from rows(got)
 
-    return pieces.select("id", "piece", "part", "body", "tail").where("id IS NOT NULL AND body IS NOT NULL").mapInArrow(of, _ROWS)
+    return pieces.select(columns).where("id IS NOT NULL" if own else "id IS NOT NULL AND body IS NOT NULL").mapInArrow(of, _ROWS)
+
+
+def _item(i: int, full_text: str | None, body: str | None) -> list[tuple[int, int, int, int]]:
+    """The rows that an item has for its first couplet, and its RECORD if it has no words."""
+    out = [] if body and WORD.search(FOLD(body)) else [(RECORD, 0, i, 0)]
+    if w := first_lines(full_text):
+        hi, lo = _halves(w)
+        out += [(COUPLET, hi, i, 0), (OTHER_HALF, lo, i, 0)]
+    return out
+
+
+def _halves(w: list[str]) -> tuple[int, int]:
+    d = xxhash.xxh3_128_digest(" ".join(w))
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
 class ChunkTable:
@@ -108,7 +129,7 @@ class ChunkTable:
 
     def append(self, rows: DataFrame) -> ChunkTable:
         """Adds rows (kind, key, id, size). They are balanced by folder, so that a key of very many records is written by several tasks."""
-        rows = rows.where(F.col("kind") != RECORD).select("kind", "key", "id", "size", F.pmod("key", F.lit(self.buckets)).cast("int").alias("bucket"))
+        rows = rows.where(F.col("kind") < RECORD).select("kind", "key", "id", "size", F.pmod("key", F.lit(self.buckets)).cast("int").alias("bucket"))
         rows.hint("rebalance", "bucket").sortWithinPartitions("bucket").write.partitionBy("bucket").mode("append").parquet(self.path)
         return self
 
@@ -132,7 +153,7 @@ def stored(spark: SparkSession, path: str, history: DataFrame, verses: DataFrame
     parts = cut(profiles(history.where("part"), n, divisor))
     size = parts.where(F.col("kind") == SEQUENCE).select("id", "key").distinct().groupBy("id").agg(F.count("*").cast("int").alias("n"))
     parts = parts.distinct().join(size, "id").select("kind", "key", "id", F.when(F.col("kind") == SEQUENCE, F.col("n")).otherwise(F.col("size")).alias("size"))
-    opening = couplets(verses.where("couplet_index = 1").select(F.col("text_id").cast("long").alias("id"), F.concat_ws("\n", "misra1_urdu", "misra2_urdu").alias("m")), "m", lines=False).select("hi", "lo").distinct()
+    opening = couplets(verses.where("couplet_index = 1").select(F.concat_ws("\n", "misra1_urdu", "misra2_urdu").alias("m"))).distinct()
     opening = opening.select(F.lit(COUPLET).alias("kind"), F.col("hi").alias("key"), F.col("lo").alias("id"), F.lit(0).alias("size"))
     return ChunkTable(spark, path, buckets).append(profiles(history.where("NOT part"), n, divisor).unionByName(parts).unionByName(opening))
 
@@ -193,17 +214,15 @@ def read_items(items: DataFrame) -> DataFrame:
     return one.select("id", F.lit(0).alias("piece"), F.lit(False).alias("part"), F.coalesce("v.full_text", "v.normalized_text").alias("body"), F.lit("").alias("tail"), F.col("v.full_text").alias("full_text"))
 
 
-def couplets(rows: DataFrame, column: str, lines: bool) -> DataFrame:
-    """(id, hi, lo): the digest of the words of the column (lines: of its first two non-blank lines), in two halves; none without a
-    word."""
+def couplets(rows: DataFrame) -> DataFrame:
+    """(hi, lo): the digests of the words of a column m, in two halves; none without a word."""
 
     def of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            got = [(i, xxhash.xxh3_128_digest(" ".join(w))) for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (w := first_lines(x) if lines else words(x))]
-            halves = np.frombuffer(b"".join(d for _, d in got), dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["id", "hi", "lo"])
+            got = [_halves(w) for x in b.column("m").to_pylist() if (w := words(x))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], names=["hi", "lo"])
 
-    return rows.select("id", column).where(F.col(column).isNotNull()).mapInArrow(of, "id long, hi long, lo long")
+    return rows.select("m").mapInArrow(of, "hi long, lo long")
 
 
 def new_items(items: DataFrame, history: DataFrame, verses: DataFrame, n: int = 5, threshold: float = 0.8, coverage: float = COVERAGE, table: ChunkTable | None = None) -> tuple[DataFrame, ChunkTable]:
@@ -220,14 +239,12 @@ def new_items(items: DataFrame, history: DataFrame, verses: DataFrame, n: int =
     spark = items.sparkSession
     if table is None:
         table = stored(spark, shared_folder(spark, f"chunks-{uuid.uuid4().hex}"), history, verses, n)
-    read = cut(read_items(items))
-    found = cut(profiles(read, n, own=True))
-    line = couplets(read, "full_text", lines=True)
-    new = cut(read.select("id").join(found.where(F.col("kind") == RECORD).select("id", F.col("key").alias("digest")), "id", "left").join(line, "id", "left"))
+    found = cut(profiles(read_items(items), n, own=True))
+    each = found.where(F.col("kind") >= COUPLET).groupBy("id")
+    new = each.agg(F.max(F.when((F.col("kind") == RECORD) & (F.col("size") > 0), F.col("key"))).alias("digest"), *(F.max(F.when(F.col("kind") == k, F.col("key"))).alias(c) for k, c in ((COUPLET, "hi"), (OTHER_HALF, "lo"))))
     # equal words and equal first couplets: the first stands for all, whatever is decided on it
     first = cut(new.where("digest IS NOT NULL").groupBy("digest", "hi", "lo").agg(F.min("id").alias("id")))
-    lines = first.where("hi IS NOT NULL").select(F.lit(COUPLET).alias("kind"), F.col("hi").alias("key"), "id", F.lit(0).alias("size"))
-    mine = cut(found.where(F.col("kind") != RECORD).join(first.select("id"), "id", "left_semi").select("kind", "key", "id", "size").unionByName(lines))
+    mine = cut(found.where(F.col("kind") < RECORD).join(first.select("id"), "id", "left_semi").select("kind", "key", "id", "size"))
     known = cut(table.having(mine.select("kind", "key").distinct()))
     chunks, sequences = (mine.where(F.col("kind") == k) for k in (CHUNK, SEQUENCE))
     old_chunks, old = (known.where(F.col("kind") == k).select("key", "id", "size") for k in (CHUNK, SEQUENCE))
