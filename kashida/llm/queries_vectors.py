@@ -9,13 +9,17 @@ from . import names, neighbours
 from .frames import table
 
 
+def _near(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "ghazal_embeddings").select(F.col("text_id").alias("id"), F.col("embedding_vector").alias("vector"), "updated_at")
+    return neighbours.nearest(rows, k=5, width=384)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    near = neighbours.nearest(neighbours.usable(table(spark, d, "ghazal_embeddings"), 384), k=5)
-    return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+    return _near(spark, d).select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
 def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return neighbours.nearest(neighbours.usable(table(spark, d, "ghazal_embeddings"), 384), k=5).withColumnRenamed("id", "text_id")
+    return _near(spark, d).withColumnRenamed("id", "text_id")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

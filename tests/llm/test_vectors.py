@@ -7,8 +7,6 @@ from kashida.llm import names, neighbours
 
 from .test_copies import pairs
 
-SCHEMA = "text_id long, embedding_vector array<float>, updated_at long, rep string, leaf int"
-
 
 def brute(ids, v, k):
     v = v.astype(np.float64)
@@ -27,9 +25,10 @@ def clustered(n, width, seed):
     return np.round(centres[r.integers(0, len(centres), n)] + 0.4 * r.standard_normal((n, width)), 3).astype(np.float32)
 
 
-@pytest.mark.parametrize("block", [2048, 40])
-def test_nearest(spark, monkeypatch, block):
-    monkeypatch.setattr(neighbours, "BLOCK", block)
+@pytest.mark.parametrize("levels", [20, 1])
+def test_nearest(spark, monkeypatch, levels):
+    """Several cells, each with a forest of several trees; with one level, cells so large that they are searched in blocks."""
+    monkeypatch.setattr(neighbours, "LEVELS", levels)
     v = clustered(700, 24, 1)
     v[50:60] = v[49]  # more copies than neighbours
     v[60:62] = v[63]
@@ -37,7 +36,7 @@ def test_nearest(spark, monkeypatch, block):
     ids = list(range(10, 710))
     df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)], "id long, vector array<float>")
     got = {}
-    for x in neighbours.nearest(df, 5, 24, leaf=40, sample=300).collect():
+    for x in neighbours.nearest(df, 5, 24, cell=30 if levels == 1 else 150, leaf=16, leaves=12).collect():
         got.setdefault(x.id, {})[x.rank] = (x.neighbour, x.cosine)
     want = brute(ids, v, 5)
     hits = sum(len({b for b, _ in want[i]} & {b for b, _ in got[i].values()}) for i in ids)
@@ -47,6 +46,31 @@ def test_nearest(spark, monkeypatch, block):
     assert [got[59][r] for r in range(1, 6)] == want[59]
 
 
+def test_queue_hands_out_leaves_by_priority():
+    """The queue over all trees gives the leaves in the order of their priorities, as scoring every node does; each leaf once."""
+    r = np.random.default_rng(2)
+    x = r.standard_normal((500, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    f = neighbours.fit(x, 4, 3, keep=True)
+    assert sorted(np.concatenate(f.members[:16]).tolist()) == list(range(500))
+    leaf, far = f.leaves(x[:50], 7)
+    level = np.full((50, 3, 1), np.inf)
+    for d in range(4):
+        m = np.stack([(x[:50] @ f.normals[t, 2**d - 1 : 2 ** (d + 1) - 1].T) - f.bounds[t, 2**d - 1 : 2 ** (d + 1) - 1] for t in range(3)], axis=1)
+        level = np.stack([np.minimum(level, m), np.minimum(level, -m)], axis=3).reshape(50, 3, -1)
+    level = level.reshape(50, -1)
+    assert np.allclose(-np.sort(-far, axis=1), -np.sort(-level, axis=1)[:, :7], atol=1e-5) and (np.diff(far[:, 3:], axis=1) <= 0).all() and all(len(set(y)) == 7 for y in leaf.tolist())
+    assert np.allclose(np.take_along_axis(level, leaf, 1), far, atol=1e-5)
+    few = neighbours.fit(x[:3], 6, 1)  # more levels than the sample fills: random projections, the same in every process
+    assert (few.leaves(x, 1)[0] == neighbours.fit(x[:3], 6, 1).leaves(x, 1)[0]).all() and len(np.unique(few.leaves(x, 1)[0])) > 8
+    assert few.leaves(x, 100)[0].max(1).tolist() != [-1] * 500 and (np.sort(few.leaves(x[:5], 64)[0], axis=1) == np.arange(64)).all()
+
+
+def test_packing_loses_nothing():
+    v = np.array([[0.1, -0.0, 3e38, 1e-45], [1 / 3, 2.5, -7, 0]], np.float32)
+    assert neighbours._unpacked(neighbours._packed(v), 2, 4).tobytes() == v.tobytes()
+
+
 def test_more_ties_than_neighbours(spark):
     """Forty vectors that tie after rounding, and thirty of one direction: the smallest ids are kept, whatever single precision says."""
     r = np.random.default_rng(3)
@@ -70,9 +94,9 @@ def test_small_and_empty(spark):
 
 def test_usable(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(1, [1.0, 2.0], 1), (1, [3.0, 4.0], 2), (1, [3.0, 4.0], 2), (2, [0.0, 0.0], 1), (3, [1.0, nan], 1), (4, [inf, 1.0], 1), (5, [1.0], 1), (6, None, 1), (7, [1.0, 1.0], 1), (7, None, 2), (8, [1.0, None], 1), (None, [1.0, 1.0], 1), (9, [5.0, 0.0], None)]
-    got = pairs(neighbours.usable(spark.createDataFrame([(*r, "x", 0) for r in rows], SCHEMA), 2))
-    assert got == [(1, [3.0, 4.0]), (9, [5.0, 0.0])]
+    rows = [(1, [1.0, 2.0], 1), (1, [3.0, 4.0], 2), (1, [3.0, 4.0], 2), (2, [0.0, 0.0], 1), (3, [1.0, nan], 1), (4, [inf, 1.0], 1), (5, [1.0], 1), (6, None, 1), (7, [1.0, 1.0], 1), (7, None, 2), (8, [1.0, None], 1), (None, [1.0, 1.0], 1), (9, [5.0, 0.0], None), (9, None, None)]
+    df = spark.createDataFrame([(*r, "x", 0) for r in rows], "id long, vector array<float>, updated_at long, rep string, code int")
+    assert pairs(neighbours.nearest(df, 2, 2)) == [(1, 9, 0.6, 1), (9, 1, 0.6, 1)]
 
 
 @pytest.mark.parametrize(("name", "email", "want"), [
