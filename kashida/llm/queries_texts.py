@@ -61,8 +61,8 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    """Terms of one and two words of the texts."""
-    return terms.term_counts(table(spark, d, "texts"), "text_urdu", most=2).where("n > 0")
+    """Terms of one to five words of the texts."""
+    return terms.term_counts(table(spark, d, "texts"), "text_urdu", most=5).where("n > 0")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

@@ -128,8 +128,8 @@ SELECT id AS item_id FROM it WHERE NOT list_contains((SELECT acc FROM s ORDER BY
 SQL = {
     "p1_found": _ITEMS,
     "p1_batches": _ITEMS,
-    "p5_ngrams": f"""WITH {MAPS}, t AS (SELECT id, regexp_extract_all(lower({_fold('text_urdu')}), {WORDS}) AS w FROM texts, full_map WHERE text_urdu IS NOT NULL), x AS (SELECT id, 1 AS n, unnest(w) AS term FROM t UNION ALL SELECT id, 2, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) FROM t)
-SELECT n, term, count(*) AS occurrences, count(DISTINCT id) AS records FROM x GROUP BY ALL""",
+    "p5_ngrams": f"""WITH {MAPS}, t AS (SELECT id, regexp_extract_all(lower({_fold('text_urdu')}), {WORDS}) AS w FROM texts, full_map WHERE text_urdu IS NOT NULL), x AS (SELECT id, n, unnest([array_to_string(w[i:i + n - 1], ' ') for i in range(1, len(w) - n + 2)]) AS term FROM t, range(1, 6) r(n))
+SELECT CAST(n AS INTEGER) AS n, term, count(*) AS occurrences, count(DISTINCT id) AS records FROM x GROUP BY ALL""",
     "p2_found": f"{_KEYS}, g AS (SELECT id, min(id) OVER (PARTITION BY k) AS group_id FROM c) SELECT group_id, id AS text_id FROM g WHERE id <> group_id",
     "p2_copies": f"{_KEYS} SELECT min(id) AS text_id, count(*) AS copies FROM c GROUP BY k",
     "p3_verses": f"WITH {MAPS} SELECT text_id, couplet_index, {_fold('misra1_urdu')} AS misra1_urdu, {_fold('misra2_urdu')} AS misra2_urdu FROM verses, full_map",

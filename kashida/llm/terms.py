@@ -16,52 +16,76 @@ from .textforms import words
 BLOCK = 2_000_000
 
 
+def suffix_array(tokens: np.ndarray, record: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes in order, words that each shares with the one before) of all records, to their ends.
+
+    tokens: word numbers of all records one after another; record: the record of each. Suffixes are ordered by their words, a beginning
+    before what it begins, equal ones by record. Ranks by the first 1, 2, 4, 8 ... words follow from each other until all differ or the
+    longest record is reached; the common prefixes follow from the same ranks, from the longest down.
+    """
+    total = len(tokens)
+    here = np.arange(total)
+    ends = np.append(np.flatnonzero(record[1:] != record[:-1]) + 1, total)
+    end = ends[np.searchsorted(ends, here, side="right")]
+    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
+    levels, width, longest = [rank], 1, int(np.diff(np.append(0, ends)).max())
+    while width < longest and rank.max() < total - 1:
+        after = np.minimum(here + width, total - 1)
+        key = rank * (total + 1) + np.where(here + width < end, rank[after] + 1, 0)
+        order = np.argsort(key, kind="stable")
+        rank = np.empty(total, np.int64)
+        rank[order] = np.append(0, np.cumsum(key[order][1:] != key[order][:-1]))
+        levels.append(rank)
+        width *= 2
+    order = np.lexsort((record, rank))
+    common = np.zeros(total, np.int64)
+    a, b = order[:-1], order[1:]
+    for k in range(len(levels) - 1, -1, -1):
+        # ranks are equal where as many words are, or both records end after the same ones
+        x, y = a + common[1:], b + common[1:]
+        go = np.flatnonzero((x < end[a]) & (y < end[b]))
+        go = go[levels[k][x[go]] == levels[k][y[go]]]
+        common[1:][go] += np.minimum(1 << k, end[a[go]] - x[go])
+    return order, common
+
+
 def intervals(tokens: np.ndarray, record: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For n from 1 to most: (n, place of one occurrence, occurrences, records) of every distinct n-word term.
 
-    tokens: word numbers of all records one after another; record: the record of each. The suffixes, each as far as `most` words and
-    to the end of its record, are sorted by their words, then by record. The common prefix of neighbours cuts the array into one
-    interval for every term of n words; its length is the number of occurrences, and less the neighbours of one record in it, the
-    number of records.
+    In the suffix array, the suffixes that begin with one term of n words are an interval: neighbours in it share n words at least. Its
+    length is the number of occurrences. A suffix whose predecessor of the same record lies in the same interval is a duplicate; less
+    these, the length is the number of records.
     """
-    total = len(tokens)
-    if not total:
+    if not len(tokens):
         return
-    columns = []
-    for k in range(most):
-        c = np.full(total, -1, dtype=np.int64)
-        c[: total - k] = np.where(record[k:] == record[: total - k], tokens[k:], -1)
-        columns.append(c)
-    order = np.lexsort((record, *columns[::-1])) if most > 1 else np.lexsort((record, columns[0]))
+    order, common = suffix_array(tokens, record)
+    ends = np.append(np.flatnonzero(record[1:] != record[:-1]) + 1, len(record))
+    left = ends[np.searchsorted(ends, order, side="right")] - order  # words to the record's end
     owner = record[order]
-    common = np.zeros(total, dtype=np.int64)  # words that a suffix shares with the one before, up to `most`
-    going = np.ones(total - 1, dtype=bool)
-    for c in columns:
-        s = c[order]
-        going &= (s[1:] == s[:-1]) & (s[1:] >= 0)
-        common[1:] += going
+    by = np.argsort(owner, kind="stable")
+    before = np.full(len(order), -1)
+    same = owner[by[1:]] == owner[by[:-1]]
+    before[by[1:][same]] = by[:-1][same]
     for n in range(1, most + 1):
-        alive = columns[n - 1][order] >= 0
-        place, o, lcp = order[alive], owner[alive], common[alive]
-        if not len(place):
-            continue
-        at = np.flatnonzero(lcp < n)
+        alive = left >= n
+        first = alive & (common < n)
+        if not first.any():
+            return
         # a suffix too short for n words never lies between two of one term, so neighbours stay neighbours
-        same = np.zeros(len(place), dtype=np.int64)
-        same[1:] = (lcp[1:] >= n) & (o[1:] == o[:-1])
-        occurrences = np.diff(np.append(at, len(place)))
-        if most > 1:  # the order is by all words, so the records of a shorter term come in no order
-            group = np.repeat(np.arange(len(at)), occurrences)
-            by = np.lexsort((o, group))
-            g, r = group[by], o[by]
-            same[1:] = (g[1:] == g[:-1]) & (r[1:] == r[:-1])
-        yield n, place[at], occurrences, occurrences - np.add.reduceat(same, at)
+        run = np.cumsum(first) - 1
+        occurrences = np.bincount(run[alive])
+        again = alive & (before >= 0)
+        at = np.flatnonzero(again)
+        q = before[at]
+        at = at[alive[q] & (run[q] == run[at])]
+        yield n, order[first], occurrences, occurrences - np.bincount(run[at], minlength=len(occurrences))
 
 
 def term_counts(records: DataFrame, column: str, most: int = 1, whole: bool = False, read: Callable[[str | None], list[str]] = words) -> DataFrame:
     """(n, term, occurrences, records): how often every term of up to `most` words occurs in the column, and in how many rows.
 
-    whole: the row's words, joined by one blank, are one term. A row with term null and n 0 gives the number of rows that hold a word.
+    Terms may have any number of words, as far as `most` says: the suffix arrays reach to the ends of records. whole: the row's words,
+    joined by one blank, are one term. A row with term null and n 0 gives the number of rows that hold a word.
     Each task builds suffix arrays over whole records and sends one row per distinct term, so frequent terms are added up before the
     shuffle. Null, empty and wordless values count nowhere.
     """

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from kashida.llm import terms
@@ -19,7 +20,23 @@ def counted(rows, most):
     return {" ".join(g): (len(g), n[g], held[g]) for g in n}
 
 
-@pytest.mark.parametrize("most", [1, 2, 3])
+@pytest.mark.parametrize("seed", range(6))
+def test_suffix_array(seed):
+    r = random.Random(seed)
+    rows = [[r.choice("ab" if seed % 2 else "abcdefgh") for _ in range(r.choice([1, 2, 9, 40]))] for _ in range(1 if seed == 4 else 30)]
+    rows += rows[:3]  # equal records
+    flat = [ord(x) for w in rows for x in w]
+    record = np.repeat(np.arange(len(rows)), [len(w) for w in rows])
+    order, common = terms.suffix_array(np.array(flat), record)
+    starts = np.cumsum([0] + [len(w) for w in rows])
+    suffix = lambda i: flat[i : starts[record[i] + 1]]
+    assert order.tolist() == sorted(range(len(flat)), key=lambda i: (suffix(i), record[i], i))
+    for k in range(1, len(order)):
+        a, b = suffix(order[k - 1]), suffix(order[k])
+        assert common[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 7, 100])
 def test_counts(spark, monkeypatch, most):
     r = random.Random(most)
     rows = [[r.choice("abcde") for _ in range(r.choice([0, 1, 2, 9, 30]))] for _ in range(80)]
