@@ -25,8 +25,8 @@ COVERAGE = 0.4
 SKIPPED = 0.25
 #: Folders of the table, by key: a batch reads only those that its keys are in. A larger table needs more (a constructor's argument).
 BUCKETS = 64
-#: Bits of a batch's keys by which rows of the table are sifted before they are shuffled: 2 ** 17 rows of 64 bits are broadcast at most.
-_WORDS = 17
+#: Rows of 64 bits, at most, as a power of two, that are broadcast as a bitmap of the keys by which rows are sifted before a shuffle.
+_WORDS = 18
 #: Words that are turned into rows at once.
 _AT_ONCE = 500_000
 #: Records whose digests a task remembers, to write copies once.
@@ -36,8 +36,8 @@ ROUNDS, GROUP = 12, 200_000
 
 #: Kinds of rows. SEQUENCE: key the hash of an n-word sequence, id the record, size its number of distinct sequences. CHUNK: key the
 #: hash of a chunk, size its characters. COUPLET: key and id the two halves of the digest of a first couplet's words. RECORD: key the
-#: digest of all words, size as for SEQUENCE, 0 without words. OTHER_HALF: of an item, whose COUPLET row has its own id. The last two are
-#: not kept in the table.
+#: digest of all words, size as for SEQUENCE, 0 without words; the table keeps it for texts in several pieces only, whose other rows have
+#: size -1. OTHER_HALF: of an item, whose COUPLET row has its own id.
 SEQUENCE, CHUNK, COUPLET, RECORD, OTHER_HALF = range(5)
 _ROWS = "kind int, key long, id long, size int"
 
@@ -129,7 +129,7 @@ class ChunkTable:
 
     def append(self, rows: DataFrame) -> ChunkTable:
         """Adds rows (kind, key, id, size). They are balanced by folder, so that a key of very many records is written by several tasks."""
-        rows = rows.where(F.col("kind") < RECORD).select("kind", "key", "id", "size", F.pmod("key", F.lit(self.buckets)).cast("int").alias("bucket"))
+        rows = rows.select("kind", "key", "id", "size", F.pmod("key", F.lit(self.buckets)).cast("int").alias("bucket"))
         rows.hint("rebalance", "bucket").sortWithinPartitions("bucket").write.partitionBy("bucket").mode("append").parquet(self.path)
         return self
 
@@ -137,25 +137,33 @@ class ChunkTable:
         return self.spark.read.schema(_ROWS + ", bucket int").parquet(self.path)
 
     def having(self, keys: DataFrame) -> DataFrame:
-        """The rows of the table whose (kind, key) is in keys, each once."""
+        """The rows of the table whose (kind, key) is in keys, each once, with the sizes of records."""
         buckets = [r.b for r in keys.select(F.pmod("key", F.lit(self.buckets)).cast("int").alias("b")).distinct().collect()]  # at most self.buckets
-        word, bit = f"cast(shiftrightunsigned(key, {64 - _WORDS}) as int)", f"cast(shiftrightunsigned(key, {58 - _WORDS}) & 63 as int)"
-        bits = keys.groupBy(F.expr(word).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("bits"))  # at most 2 ** _WORDS rows
-        rows = self.rows().where(F.col("bucket").isin(buckets)).select("kind", "key", "id", "size", F.expr(word).alias("word"))
-        some = rows.join(F.broadcast(bits), "word").where(F.expr(f"shiftrightunsigned(bits, {bit}) & 1 = 1")).select("kind", "key", "id", "size")
+        some = sifted(self.rows().where(F.col("bucket").isin(buckets)).select("kind", "key", "id", "size"), "key", keys.select("key"))
         # an inner join stays above the sieve; a semi-join would be pushed below it, and shuffle the whole table
-        return some.join(keys.select("kind", "key").distinct(), ["kind", "key"]).select("kind", "key", "id", "size").distinct()
+        some = some.join(keys.select("kind", "key").distinct(), ["kind", "key"]).select("kind", "key", "id", "size").distinct()
+        whole = self.rows().where(F.col("kind") == RECORD).select("id", F.col("size").alias("whole"))
+        return some.join(whole, "id", "left").select("kind", "key", "id", F.coalesce("whole", "size").alias("size"))
+
+
+def sifted(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose column may be among the values of wanted, of one column: all that are, and few others unless these are very many.
+    The values are told by a bitmap of bounded size, so that rows are dropped before they are shuffled."""
+    h = F.xxhash64(F.col(column))
+    word, bit = F.shiftrightunsigned(h, 64 - _WORDS).cast("int"), F.shiftrightunsigned(h, 58 - _WORDS).bitwiseAND(F.lit(63)).cast("int")
+    bits = wanted.toDF(column).groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    have = F.call_function("shiftrightunsigned", F.col("_bits"), bit).bitwiseAND(F.lit(1)) == 1
+    return rows.withColumn("_word", word).join(F.broadcast(bits), "_word").where(have).select(rows.columns)  # at most 2 ** _WORDS rows
 
 
 def stored(spark: SparkSession, path: str, history: DataFrame, verses: DataFrame, n: int, divisor: int = DIVISOR, buckets: int = BUCKETS) -> ChunkTable:
     """A new table of the texts (bodies, see frames) and the first couplets of verse rows (text_id, couplet_index, misra1_urdu,
     misra2_urdu)."""
-    parts = cut(profiles(history.where("part"), n, divisor))
-    size = parts.where(F.col("kind") == SEQUENCE).select("id", "key").distinct().groupBy("id").agg(F.count("*").cast("int").alias("n"))
-    parts = parts.distinct().join(size, "id").select("kind", "key", "id", F.when(F.col("kind") == SEQUENCE, F.col("n")).otherwise(F.col("size")).alias("size"))
     opening = couplets(verses.where("couplet_index = 1").select(F.concat_ws("\n", "misra1_urdu", "misra2_urdu").alias("m"))).distinct()
     opening = opening.select(F.lit(COUPLET).alias("kind"), F.col("hi").alias("key"), F.col("lo").alias("id"), F.lit(0).alias("size"))
-    return ChunkTable(spark, path, buckets).append(profiles(history.where("NOT part"), n, divisor).unionByName(parts).unionByName(opening))
+    table = ChunkTable(spark, path, buckets).append(profiles(history, n, divisor).where(F.col("kind") != RECORD).unionByName(opening))
+    parts = table.rows().where((F.col("kind") == SEQUENCE) & (F.col("size") < 0)).select("id", "key").distinct().groupBy("id").agg(F.count("*").cast("int").alias("size"))
+    return table.append(parts.select(F.lit(RECORD).alias("kind"), F.col("id").alias("key"), "id", "size"))
 
 
 def by_chunks(items: DataFrame, known: DataFrame, coverage: float = COVERAGE, skipped: float = SKIPPED) -> DataFrame:
@@ -197,7 +205,9 @@ def by_sequences(items: DataFrame, known: DataFrame, threshold: float) -> DataFr
 
 def alike(pairs: DataFrame, items: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     """(item, id) of the pairs whose likeness is at least threshold, counted on all their sequences. items, known: SEQUENCE rows."""
-    both = pairs.join(known.select("id", "key", F.col("size").alias("n")), "id").join(items.select(F.col("id").alias("item"), "key", F.col("size").alias("ni")), ["item", "key"])
+    theirs = sifted(known, "id", pairs.select("id")).select("id", "key", F.col("size").alias("n"))
+    own = sifted(items, "id", pairs.select("item")).select(F.col("id").alias("item"), "key", F.col("size").alias("ni"))
+    both = pairs.join(theirs, "id").join(own, ["item", "key"])
     both = both.groupBy("item", "id").agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("ni").alias("ni"))
     return both.where(F.col("both") / (F.col("n") + F.col("ni") - F.col("both")) >= threshold).select("item", "id")
 
@@ -249,7 +259,7 @@ def new_items(items: DataFrame, history: DataFrame, verses: DataFrame, n: int =
     chunks, sequences = (mine.where(F.col("kind") == k) for k in (CHUNK, SEQUENCE))
     old_chunks, old = (known.where(F.col("kind") == k).select("key", "id", "size") for k in (CHUNK, SEQUENCE))
     lines = first.join(known.where(F.col("kind") == COUPLET).select(F.col("key").alias("hi"), F.col("id").alias("lo")), ["hi", "lo"], "left_semi").select("id")
-    case = cut(alike(by_chunks(chunks, old_chunks, coverage), sequences, old, threshold).select(F.col("item").alias("id")).unionByName(lines).distinct())
+    case = cut(alike(cut(by_chunks(chunks, old_chunks, coverage)), sequences, old, threshold).select(F.col("item").alias("id")).unionByName(lines).distinct())
     # what chunks left open: every record that may be alike is found by word sequences, none by chance
     left = cut(sequences.join(case, "id", "left_anti"))
     near = cut(by_sequences(left, old.withColumn("batch", F.lit(False)).unionByName(left.select("key", "id", "size", F.lit(True).alias("batch"))), threshold))
