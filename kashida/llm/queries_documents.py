@@ -19,6 +19,12 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("share", F.round((F.col("end") - F.col("begin")) / F.col("item_words"), 6))
 
 
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that items leaked into, without what leaked."""
+    docs = table(spark, d, "documents")
+    return leaks.cleaned(docs, leaks.leaks(docs, table(spark, d, "eval_items"))).where("removed > 0")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_types(table(spark, d, "documents"), table(spark, d, "common_words")).where("junk > 0.5").select("doc_id")
 

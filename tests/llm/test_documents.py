@@ -3,6 +3,7 @@ from __future__ import annotations
 import os
 import random
 
+import numpy as np
 import pytest
 
 from kashida.llm import leaks, mixing, quality
@@ -30,16 +31,24 @@ def brute_leaks(documents, items, share=0.5, changed=10):
     return sorted(out)
 
 
-def test_automaton_finds_every_occurrence():
-    r = random.Random(1)
-    items = [[r.choice("abc") for _ in range(r.randrange(1, 12))] for _ in range(8)]
-    a = leaks.Automaton(items)
-    text = [r.choice("abcd") for _ in range(60)]
-    for at, s, n in a.stream(text, 1):
-        have = [(i, p) for i, w in enumerate(items) for p in range(n, len(w) + 1) if w[p - n : p] == text[at - n : at]]
-        assert have and sorted(a.occurrences(s)) == have
-        longer = text[at - n - 1 : at] if at > n else None
-        assert longer is None or not any(w[p : p + n + 1] == longer for w in items for p in range(len(w)))
+@pytest.mark.parametrize("seeds", [1, 3])
+def test_automaton_finds_every_occurrence(seeds):
+    r = random.Random(seeds)
+    items = [[r.choice([0, 1, 2]) for _ in range(r.randrange(1, 12))] for _ in range(8)]
+    a = leaks.Automaton(items, [seeds + i % 2 for i in range(8)], 4)
+    texts = [[r.choice([-1, 0, 1, 2, 3]) if r.random() < 0.1 else r.choice([0, 1, 2]) for _ in range(n)] for n in (60, 1, 33, 60)]
+    tokens = np.array([x for t in texts for x in t])
+    ends = np.cumsum([len(t) for t in texts])
+    got = {(p, at): (s, n) for p, at, s, n in zip(*(x.tolist() for x in a.stream(tokens, ends - [len(t) for t in texts], ends)))}
+    for p, text in enumerate(texts):
+        for at in range(1, len(text) + 1):
+            match = lambda n: [(i, k) for i, w in enumerate(items) for k in range(n, len(w) + 1) if w[k - n : k] == text[at - n : at]]  # noqa: E731, B023
+            n = max((n for n in range(1, at + 1) if match(n)), default=0)
+            counts = any(m >= seeds + i % 2 for m in range(1, n + 1) for i, _ in match(m))
+            assert ((p, at) in got) == counts
+            if counts:
+                s, m = got[p, at]
+                assert m == n and sorted(zip(*(x.tolist() for x in a.occurrences(s)))) == match(n)
 
 
 def test_stretch():
@@ -80,7 +89,22 @@ def test_leaks(spark, seed):
     want = brute_leaks(documents, items)
     assert pairs(leaks.leaks(df, it).select("doc_id", "item_id")) == want
     # the items in several automata
-    assert pairs(leaks.leaks(df, it, block=200).select("doc_id", "item_id")) == want
+    assert pairs(leaks.leaks(df, it, block=200).select("doc_id", "item_id")) == pairs(leaks.leaks(df, it, block=100, together=2).select("doc_id", "item_id")) == want
+    clean = {x.doc_id: (x.text, x.removed) for x in leaks.cleaned(df, leaks.leaks(df, it)).collect()}
+    assert clean.pop(None) == ("x", 0)  # a document without id stays as it is
+    assert set(clean) == {d for d, _ in documents} and {d for d, x in clean.items() if x[1]} == {d for d, _ in want}
+    assert all(len(words(clean[d][0])) == len(words(t)) - clean[d][1] and (clean[d][1] or clean[d][0] == t) for d, t in documents)
+
+
+def test_long_documents_are_streamed_in_parts(spark, monkeypatch):
+    r = random.Random(9)
+    v = ["".join(r.choices("abcdefgh", k=4)) for _ in range(3000)]
+    items = [(i, " ".join(r.choices(v, k=40))) for i in range(6)]
+    w = r.choices(v, k=5000)
+    for i, at in enumerate((500, 1010, 1536, 2040, 4960)):
+        w[at : at + 40] = words(items[i][1])
+    found = leaks.Leaks([items], 0.5, 10).find([w, w[:10], w[490:560]])
+    assert sorted((d, i, b, e) for d, i, b, e, _ in found) == [(0, i, at, at + 40) for i, at in enumerate((500, 1010, 1536, 2040, 4960))] + [(2, 0, 10, 50)]
 
 
 def test_no_documents_or_items(spark):
