@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,33 +141,32 @@ def learn(patterns: list[tuple[str, int]], rounds: int = 200) -> dict[str, float
     """
     if not patterns:
         return {}
-    width = len(patterns[0][0])
-    p = {v: min(1.0, 3 * v.count("1") / max(1, len(v) - v.count("-"))) if "1" in v else 0.0 for v, _ in patterns}
+    names = [v for v, _ in patterns]
+    votes = np.array(["01-".index(x) for v in names for x in v], np.int8).reshape(len(names), -1)
+    n = np.array([k for _, k in patterns], np.float64)
+    against, cast = (votes == 1).sum(1), (votes != 2).sum(1)
+    p = np.minimum(1.0, 3 * against / np.maximum(1, cast))
     for _ in range(rounds):
-        size = [1.0, 1.0]
-        count = [[{"0": 1.0, "1": 1.0, "-": 1.0} for _ in range(width)] for _ in size]
-        for v, n in patterns:
-            for k, w in ((1, p[v] * n), (0, (1 - p[v]) * n)):
-                size[k] += w
-                for i, x in enumerate(v):
-                    count[k][i][x] += w
-        chance = [[{x: math.log(y / sum(c.values())) for x, y in c.items()} for c in count[k]] for k in (0, 1)]
-        prior = math.log(size[1] / size[0])
-        now = {}
-        for v, _ in patterns:
-            z = prior + sum(chance[1][i][x] - chance[0][i][x] for i, x in enumerate(v))
-            now[v] = 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
-        moved = max(abs(now[v] - p[v]) for v in now)
+        size, chance = [], []
+        for w in ((1 - p) * n, p * n):
+            size.append(1 + w.sum())
+            count = np.stack([np.bincount(v, weights=w, minlength=3) for v in votes.T]) + 1
+            chance.append(np.log(count / count.sum(1, keepdims=True)))
+        lean = chance[1] - chance[0]
+        z = np.log(size[1] / size[0]) + sum(lean[i][v] for i, v in enumerate(votes.T))
+        now = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        moved = np.abs(now - p).max()
         p = now
         if moved < 1e-9:
             break
-    return p
+    return dict(zip(names, p.tolist()))
 
 
 def text_types(documents: DataFrame, common: DataFrame) -> DataFrame:
     """(doc_id, *STATISTICS, votes, junk): junk is the posterior that the document as a whole is a list, a table or rubbish.
 
-    Only the vote patterns and their numbers go to the driver: at most 3 to the power of the functions, whatever the corpus.
+    Only the vote patterns and their numbers go to the driver: at most 3 to the power of the functions, 1.6 million short rows, whatever
+    the corpus; so is what is broadcast.
     """
     stats = cut(document_statistics(documents, common).withColumn("votes", votes()))
     posterior = learn([(r.votes, r.n) for r in stats.groupBy("votes").agg(F.count("*").alias("n")).collect()])
