@@ -68,36 +68,50 @@ def distinct_texts(rows: DataFrame, n: int, coordinates: int = 0) -> Texts:
     return Texts(reps.drop("digest"), members, giants.select("id", "piece", "words"))
 
 
-def candidates(reps: DataFrame, threshold: float, coordinates: int, matches: int, hot: int = 256) -> DataFrame:
-    """(a, b), a < b: pairs of reps (id, n, sig) that agree on some coordinate of the prefix and may be alike by their sizes.
-
-    Documents are posted under each (coordinate, value) of the first coordinates - matches + 1 coordinates: a pair with `matches`
-    agreements has one there. Lists of up to `hot` documents are joined. A longer list is posted anew under each further coordinate,
-    with both values as key, and so on until the keys have `matches` coordinates; documents of one such list agree on that many, so
-    all its pairs of fitting size are wanted, and they are joined as they are. No list is capped.
+def collisions(reps: DataFrame, threshold: float, coordinates: int, matches: int, hot: int = 256) -> DataFrame:
+    """(a, b), a < b: pairs of reps (id, n, sig) that agree on at least `matches` coordinates and may be alike by their sizes.
+
+    Documents are posted under each (coordinate, value), and the lists are merged: a pair is counted once in every list that holds both.
+    Lists of over `hot` documents are skipped there. A pair with `matches` agreements of which one of the first coordinates - matches + 1
+    is in a skipped list is found by posting that list's documents anew under each further coordinate, with both values as key, and so on
+    until the keys have `matches` coordinates: documents of one such list agree on that many, so all its pairs of fitting size are
+    wanted, and lists of over `hot` are joined in blocks, each pair of blocks under a key of its own. What is found in shorter keys, or
+    counted too seldom while a document is in a skipped list, is decided by its signatures. No list is capped.
     """
     fit = (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) if threshold > 0 else F.lit(True)
 
     def join(p: DataFrame) -> DataFrame:
         return p.select("key", F.col("id").alias("a"), F.col("n").alias("na")).join(p.select("key", F.col("id").alias("b"), F.col("n").alias("nb")), "key").where(F.col("a") < F.col("b")).where(fit).select("a", "b")
 
-    prefix = coordinates - matches + 1
-    posted = reps.select("id", "n", F.posexplode(F.slice("sig", 1, prefix)).alias("c", "v")).select("id", "n", "c", F.xxhash64("c", "v").alias("key"))
-    out = None
-    for depth in range(1, matches + 1):
-        if depth == matches:
-            found, more = join(posted), None
-        else:
-            long = cut(posted.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > hot).select("key"))
-            more = long if not long.isEmpty() else None
-            found = join(posted if more is None else posted.join(long, "key", "left_anti"))
-        out = found if out is None else out.unionByName(found)
-        if more is None:
-            break
-        again = posted.join(more, "key").join(reps.select("id", "sig"), "id")
-        tail = F.posexplode(F.slice("sig", 1, prefix + depth)).alias("d", "v")
+    def sizes(p: DataFrame) -> DataFrame:
+        return cut(p.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > hot))
+
+    posted = reps.select("id", "n", F.posexplode("sig").alias("c", "v")).select("id", "n", "c", F.xxhash64("c", "v").alias("key"))
+    long = sizes(posted)
+    if long.isEmpty():
+        return join(posted).groupBy("a", "b").agg(F.count("*").alias("k")).where(F.col("k") >= matches).select("a", "b")
+    counted = cut(join(posted.join(long, "key", "left_anti")).groupBy("a", "b").agg(F.count("*").alias("k")))
+    busy = cut(posted.join(long, "key", "left_semi").select("id").distinct())
+    sure = counted.where(F.col("k") >= matches).select("a", "b")
+    doubtful = counted.where(F.col("k") < matches).select("a", "b").join(busy.select(F.col("id").alias("a")), "a", "left_semi").join(busy.select(F.col("id").alias("b")), "b", "left_semi")
+    # agreements of a pair in order: its first is in a skipped list, or the pair is counted
+    posted = posted.where(F.col("c") < coordinates - matches + 1)
+    for depth in range(2, matches + 1):
+        again = posted.join(long.select("key"), "key").join(reps.select("id", "sig"), "id")
+        tail = F.posexplode(F.slice("sig", 1, coordinates - matches + depth)).alias("d", "v")
         posted = cut(again.select("id", "n", "c", "key", tail).where("d > c").select("id", "n", F.col("d").alias("c"), F.xxhash64("key", "d", "v").alias("key")))
-    return out.distinct()
+        long = sizes(posted)
+        short = join(posted.join(long.select("key"), "key", "left_anti"))
+        if depth < matches:
+            doubtful = doubtful.unionByName(short)
+        else:
+            blocks = F.ceil(F.col("size") / hot).cast("int")
+            many = posted.join(long, "key").withColumn("x", F.pmod(F.xxhash64("id"), blocks)).withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            sure = sure.unionByName(short).unionByName(join(many.select("id", "n", F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("key"))))
+    sig = reps.select("id", "sig")
+    agree = F.size(F.filter(F.arrays_zip("sa", "sb"), lambda x: x["sa"] == x["sb"]))
+    doubtful = doubtful.distinct().join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").where(agree >= matches).select("a", "b")
+    return sure.unionByName(doubtful).distinct()
 
 
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -155,11 +169,8 @@ def near_duplicates(pieces: DataFrame, n: int = 5, threshold: float = 0.8, coord
     """
     texts = distinct_texts(cut(read_words(pieces, n, coordinates)), n, coordinates)
     reps = texts.reps
-    pairs = cut(candidates(reps, threshold, coordinates, matches))
-    sig = reps.select("id", "sig")
-    agree = F.size(F.filter(F.arrays_zip("sa", "sb"), lambda x: x["sa"] == x["sb"]))
-    strong = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").where(agree >= matches).select("a", "b")
-    links = verified(strong, reps, reps, n, threshold)
+    pairs = cut(collisions(reps, threshold, coordinates, matches))
+    links = verified(pairs, reps, reps, n, threshold)
     if not texts.giants.isEmpty():
         huge = texts.giants.select(F.col("id").alias("g")).distinct()
         some = cut(_with_giants(pairs, huge))

@@ -143,6 +143,11 @@ SELECT id AS text_id, min(id) OVER (PARTITION BY look) AS class_id, min(id) OVER
 s AS (SELECT id, list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)] END) AS g FROM w WHERE len(w) > 0),
 x AS (SELECT id, len(g) AS n, unnest(g) AS g FROM s), c AS (SELECT a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
 SELECT id_a, id_b FROM c WHERE c / (na + nb - c) >= 0.6""",
+    # the smallest id reached through links between different texts, step by step
+    "p4_classes": f"""WITH RECURSIVE {MAPS}, {BODIES}, w AS (SELECT id, regexp_extract_all(lower({_fold('body')}), {WORDS}) AS w FROM bodies, full_map), m AS (SELECT id, w, min(id) OVER (PARTITION BY w) AS rep, count(*) OVER (PARTITION BY w) AS copies FROM w WHERE len(w) > 0),
+s AS (SELECT id, {_GRAMS} AS g FROM m WHERE id = rep), x AS (SELECT id, len(g) AS n, unnest(g) AS g FROM s), l AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.g = b.g AND a.id <> b.id GROUP BY a.id, b.id HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.6),
+reach AS (SELECT DISTINCT a AS id, a AS other FROM l UNION SELECT reach.id, l.b FROM reach JOIN l ON l.a = reach.other), c AS (SELECT id, min(other) AS class_id FROM reach GROUP BY id), k AS (SELECT a AS id, count(*) AS links FROM l GROUP BY a)
+SELECT m.id AS text_id, coalesce(c.class_id, m.rep) AS class_id, coalesce(k.links, 0) AS links FROM m LEFT JOIN c ON c.id = m.rep LEFT JOIN k ON k.id = m.rep WHERE m.copies > 1 OR k.links IS NOT NULL""",
     "p5_found": f"{_TERMS} SELECT field_name, term, 'rare' AS mark FROM c WHERE held <= 2 UNION ALL SELECT field_name, term, 'common' FROM c JOIN n USING (field_name) WHERE held >= share * total",
     "p6_found": f"{_NEAR} SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM k",
     # a stretch from one equal word to another may take in changed words at its ends, as far as nine in ten stay equal

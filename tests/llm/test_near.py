@@ -79,11 +79,17 @@ def test_repeated_rows_and_empty(spark):
     assert pairs(neardup.all_pairs(t, links)) == pairs(neardup.classes(t, links)) == []
 
 
-def test_long_lists_are_split_without_loss(spark):
-    rows = [(i, " ".join([*"abcdefghijklmnopqrstuvwxyz", "x" + word(i)])) for i in range(1, 30)]
+@pytest.mark.parametrize("hot", [2, 4, 9, 256])
+def test_long_lists_are_split_without_loss(spark, hot):
+    """All pairs of fitting size that agree on three coordinates, whatever lists are skipped, and no others."""
+    r = random.Random(hot)
+    rows = [(i, " ".join([*"abcdefghijklmnopqrstuvwxyz", "x" + word(i)])) for i in range(1, 30)] + [(100 + i, t) for i, t in corpus(60, 8)]
+    rows += [(300 + i, " ".join(r.choices("abcdefgh", k=12))) for i in range(40)]
     t = neardup.distinct_texts(neardup.read_words(bodies(texts(spark, rows), verses(spark)), 3, 20), 3, 20)
-    got = set(pairs(neardup.candidates(t.reps, 0.6, 20, 3, hot=4)))
-    assert got == set(itertools.combinations(range(1, 30), 2))
+    got = pairs(neardup.collisions(t.reps, 0.6, 20, 3, hot=hot))
+    sig = {x.id: (x.n, x.sig) for x in t.reps.collect()}
+    want = [(a, b) for a, b in itertools.combinations(sorted(sig), 2) if min(sig[a][0], sig[b][0]) >= 0.6 * max(sig[a][0], sig[b][0]) and sum(x == y for x, y in zip(sig[a][1], sig[b][1])) >= 3]
+    assert sorted(set(got)) == want and len(got) == len(want) > 400
 
 
 def test_texts_in_pieces(spark):
