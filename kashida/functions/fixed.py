@@ -102,3 +102,8 @@ FEATURE_GROUPS = [
 FEATURES = ["Radif (refrain) pattern", "First Qaafiya (rhyme) pattern", "Second Qaafiya pattern", "Third Qaafiya pattern", "Meter (behr) pattern", "Theme category", "Number of verses"]
 # The separator of texts in an upload, and what a poet without verses shows.
 SEPARATOR, NO_COUPLET = "###GHZ###", "✨"
+# The lines that explain a likeness, with the places of their numbers and words.
+EXPLANATIONS = {
+    "semantic": "Semantic similarity (%.2f) → %.1f%%", "radif": "Same radif '%s' → 20%%", "no radif": "Different radif → 0%",
+    "qaafiya": "Qaafiya overlap (%.2f) → %.1f%%", "no qaafiya": "No qaafiya overlap → 0%", "theme": "Same theme '%s' → 10%%", "no theme": "Different theme → 0%",
+}

@@ -117,6 +117,14 @@ def language(s: Column) -> Column:
     return F.when(n == 0, "unknown").when(_count(s, ARABIC) / n > 0.3, "urdu").when(_count(s, "a-zA-Z") / n > 0.5, "roman").otherwise("mixed")
 
 
+def is_urdu(s: Column) -> Column:
+    return language(s) == "urdu"
+
+
+def is_roman_urdu(s: Column) -> Column:
+    return language(s) == "roman"
+
+
 def _map(table: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
 

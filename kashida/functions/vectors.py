@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / F.greatest(all_, F.lit(1)))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded as binary arithmetic does it, halves up: 4.015, which is stored a little smaller, becomes 4.01. Spark's own round
+    takes the shortest decimal spelling for the number, and gives 4.02."""
+    return F.floor(x * float(10**digits) + 0.5) / float(10**digits)
+
+
 def rhyme_overlap(a: Column, b: Column) -> Column:
     """Common rhyme words by the longer list; 0 if either is empty or null."""
     return F.when((F.coalesce(F.size(a), F.lit(0)) <= 0) | (F.coalesce(F.size(b), F.lit(0)) <= 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b)))
@@ -43,5 +51,16 @@ def trigrams(s: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(F.lower(F.coalesce(s, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), of)))
 
 
+def may_share_trigrams(s: Column, query: str) -> Column:
+    """Whether a string has any trigram of the query: true where it has one, and a match of a pattern instead of sets of trigrams."""
+    parts = set()
+    for w in re.findall(r"[^\W_]+", query.lower()):
+        padded = f"  {w} "
+        for i in range(len(w) + 1):
+            g = padded[i : i + 3]
+            parts.add((r"(?<![\p{L}\p{N}])" if g[0] == " " else "") + re.escape(g.strip()) + (r"(?![\p{L}\p{N}])" if g[-1] == " " else ""))
+    return F.lower(F.coalesce(s, F.lit(""))).rlike("|".join(sorted(parts))) if parts else F.lit(False)
+
+
 def trigram_similarity(a: Column, b: Column) -> Column:
     return jaccard(trigrams(a), trigrams(b))

@@ -95,9 +95,17 @@ def recent(texts: DataFrame, poets: DataFrame, verses: DataFrame, n: int = 10, f
     return rows.orderBy(F.col("created_at").desc_nulls_last(), F.col("id").desc()).limit(n).select("id", "title_urdu", "poet_name", "created_at", "misra1_urdu", "misra2_urdu")
 
 
+def in_order(verses: DataFrame, line: Column, between: str, as_: str, piece: int = 4096) -> DataFrame:
+    """(text_id, as_): the lines of each text put together in the order of couplet_index. Pieces of `piece` couplet numbers are put
+    together first, so that no task sorts the couplets of a text that holds a third of all."""
+    rows = verses.select("text_id", "couplet_index", F.floor(F.col("couplet_index") / piece).alias("_p"), line.alias("_l"))
+    of = lambda order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_l"))), lambda x: x["_l"]), between)
+    return rows.groupBy("text_id", "_p").agg(of("couplet_index").alias("_l")).groupBy("text_id").agg(of("_p").alias(as_))
+
+
 def share_texts(texts: DataFrame, poets: DataFrame, verses: DataFrame, giver: str = "", receiver: str = "", closing: str = "") -> DataFrame:
     """(text_id, share): the poet's name in capitals, underlined, an optional dedication, and the couplets."""
-    v = distinct_verses(verses).groupBy("text_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("couplet_index", "misra1_urdu", "misra2_urdu"))), lambda x: F.concat(x["misra1_urdu"], F.lit("\n"), x["misra2_urdu"], F.lit("\n\n"))), "").alias("body"))
+    v = in_order(distinct_verses(verses), F.concat("misra1_urdu", F.lit("\n"), "misra2_urdu", F.lit("\n\n")), "", "body")
     name = F.upper(F.coalesce("name", F.lit("")))
     to = (f"From: {giver}\n" if giver else "") + (f"To: {receiver}\n" if receiver else "") + "\n"
     rows = texts.select(F.col("id").alias("text_id"), "poet_id").join(poets.select(F.col("id").alias("poet_id"), "name"), "poet_id").join(v, "text_id", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IDF, HashingTF, StringIndexer
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from .likeness import nearest_means
 
 
 def bucket(s: Column, bins: int) -> Column:
@@ -51,15 +54,12 @@ def split(rows: DataFrame, key: str, label: str, parts: int = 5, seed: str = "42
     return j.withColumn("test", F.col("_before") + at <= F.col("_want")).drop("_h", "_g", "_n", "_before", "_want")
 
 
-def nearest_centroid(rows: DataFrame, means: DataFrame, key: str, label: str, vector: str) -> DataFrame:
-    """(key, label, predicted, second, third): the labels of the nearest means by cosine. means: (label, centroid), one row per label."""
-    from ..functions.vectors import cosine, norm
-
-    m = means.select(F.col(label).alias("_l"), "centroid", norm(F.col("centroid")).alias("_m"))
-    c = F.round(cosine(F.col(vector), F.col("centroid"), norm(F.col(vector)), F.col("_m")), 9)
-    each = rows.select(key, label, vector).crossJoin(F.broadcast(m)).select(key, label, F.struct((-c).alias("far"), F.col("_l").alias("l")).alias("x"))
-    top = each.groupBy(key, label).agg(F.slice(F.array_sort(F.collect_list("x")), 1, 3).alias("top"))
-    return top.select(key, label, *(F.get("top", F.lit(i))["l"].alias(n) for i, n in enumerate(("predicted", "second", "third"))))
+def nearest_centroid(rows: DataFrame, means: DataFrame, key: str, label: str, vector: str, block: int = 4096) -> DataFrame:
+    """(key, label, predicted, second, third): the labels of the nearest means by cosine. means: (label, centroid), one row per label.
+    Means are sent in blocks of bounded size; a batch of rows is held against a block by one product, and only three of each go on."""
+    near = nearest_means(rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")), means.select(F.col(label).cast("long").alias("mean_id"), "centroid"), 3, block, decimals=9)
+    top = near.groupBy("id").agg(*(F.max(F.when(F.col("rank") == i, F.col("mean_id"))).cast(means.schema[label].dataType).alias(n) for i, n in enumerate(("predicted", "second", "third"), 1)))
+    return rows.select(key, label).join(top.withColumnRenamed("id", key), key, "left")
 
 
 def confusion(predictions: DataFrame, label: str) -> DataFrame:
@@ -68,7 +68,7 @@ def confusion(predictions: DataFrame, label: str) -> DataFrame:
 
 def measures(predictions: DataFrame, label: str) -> DataFrame:
     """Per label: precision, recall, F1, support; all from the confusion counts."""
-    c = confusion(predictions, label).persist()
+    c = confusion(predictions, label)
     have = c.groupBy(F.col(label).alias("l")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col(label) == F.col("predicted"), F.col("n")).otherwise(0)).alias("right"))
     said = c.groupBy(F.col("predicted").alias("l")).agg(F.sum("n").alias("said"))
     j = have.join(said, "l", "full").select("l", *(F.coalesce(x, F.lit(0)).alias(x) for x in ("support", "right", "said")))
@@ -107,6 +107,46 @@ def predict(model: PipelineModel, rows: DataFrame, key: str, label: str, vector:
     return p.withColumn("top", top).select(key, label, name(0).alias("predicted"), name(1).alias("second"), name(2).alias("third"), (-F.get("top", F.lit(0))["far"]).alias("confidence"))
 
 
+def save(model: PipelineModel, path: str) -> None:
+    """Stores a trained model in place of an older one."""
+    model.write().overwrite().save(path)
+    _models.pop(path, None)
+
+
+def load(path: str) -> PipelineModel:
+    """A stored model; read once in a process."""
+    if path not in _models:
+        _models[path] = PipelineModel.load(path)
+    return _models[path]
+
+
+_models: dict[str, PipelineModel] = {}
+
+
+def top_three(model: PipelineModel, rows: DataFrame, key: str, vector: str, poets: DataFrame) -> DataFrame:
+    """(key, predicted_poet_id, confidence, top3, feature_contributions): the three most probable poets of each row with their names and
+    probabilities, and the features that weigh most in the model, as JSON. Labels are poet ids; of poets that are unknown none is given."""
+    labels = F.array(*(F.lit(int(x)) for x in model.stages[0].labels))
+    data = rows.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("_features"))
+    p = model.stages[1].transform(data).select(key, vector_to_array("probability").alias("p"))
+    top = F.slice(F.array_sort(F.transform("p", lambda x, i: F.struct((-x).alias("far"), i.alias("i")))), 1, 3)
+    each = p.select(key, F.posexplode(top).alias("at", "x")).select(key, "at", F.get(labels, F.col("x.i")).cast("long").alias("poet_id"), (-F.col("x.far")).alias("probability"))
+    named = each.join(poets.select(F.col("id").alias("poet_id"), "name", "name_urdu"), "poet_id")
+    best = named.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "poet_id", "name", "name_urdu", "probability"))).alias("t"))
+    weights = json.dumps([{"feature": n, "importance": w} for n, w in importances(model)])
+    of = F.transform("t", lambda x: F.struct(x["poet_id"].alias("poet_id"), x["name"].alias("name"), x["name_urdu"].alias("name_urdu"), x["probability"].alias("probability")))
+    return best.select(key, F.get("t", F.lit(0))["poet_id"].alias("predicted_poet_id"), F.get("t", F.lit(0))["probability"].alias("confidence"), F.to_json(of).alias("top3"), F.lit(weights).alias("feature_contributions"))
+
+
+def report(predictions: DataFrame, label: str, names: DataFrame) -> DataFrame:
+    """One row: top1, top3, n, per_label (label, name, precision, recall, f1, support) and confusion counts, as stored for display.
+    names: (label, name). A row for each label, so its size is that of the labels."""
+    per = measures(predictions, label).join(names.select(F.col(label), "name"), label, "left")
+    lists = per.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), F.coalesce("name", F.concat(F.lit("Poet "), F.col(label).cast("string"))).alias("name"), "precision", "recall", "f1", "support"))).alias("per_label"))
+    counts = confusion(predictions, label).agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "predicted", "n"))).alias("confusion"))
+    return accuracy(predictions, label).crossJoin(lists).crossJoin(counts)  # three single rows
+
+
 def importances(model: PipelineModel, n: int = 3, width: int = 384) -> list[tuple[str, float]]:
     """The n places of greatest importance, by name."""
     v = model.stages[1].featureImportances.toArray()

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import words
-from ..functions.vectors import cosine, jaccard, norm, rhyme_overlap
+from ..functions.vectors import cosine, rhyme_overlap, rounded
+from ..lineage import cut
 from ..sources.tables import first_per, latest
 
 #: Width of stored vectors.
@@ -26,22 +27,75 @@ def vectors(embeddings: DataFrame, width: int = WIDTH) -> DataFrame:
     return v.where("embedding_vector IS NOT NULL").where(fine).select("text_id", F.col("embedding_vector").cast("array<double>").alias("v"))
 
 
-def by_words(texts: DataFrame, poets: DataFrame, text_id: int, n: int = 10, head: int = 50, form: str = "ghazal") -> DataFrame:
-    """The n texts of the form with the most words in common with one text: Jaccard index of the first `head` words as sets, and a bonus for
-    the same poet. All texts are candidates; the target is one row."""
-    rows = texts.select("id", "poet_id", "title_urdu", "form", F.array_distinct(F.slice(words(F.col("text_urdu")), 1, head)).alias("k")).join(poets.select(F.col("id").alias("poet_id"), F.col("name").alias("poet_name")), "poet_id")
-    target = rows.where(F.col("id") == text_id).select(F.col("k").alias("tk"), F.col("poet_name").alias("tp"))
-    same = F.when(F.col("poet_name") == F.col("tp"), fixed.SAME_POET).otherwise(0.0)
-    score = F.round(F.least(fixed.SHARED_WORDS * jaccard(F.col("k"), F.col("tk")) + same, F.lit(1.0)), 3)
-    return rows.where((F.col("form") == form) & (F.col("id") != text_id)).crossJoin(F.broadcast(target)).select("id", "title_urdu", "poet_name", score.alias("score")).orderBy(F.desc("score"), "id").limit(n)
+def _packed(rows: DataFrame, key: str, columns: list[str], size: int, as_: str) -> DataFrame:
+    """(as_): arrays of about `size` rows each, by hash of the key: what one task holds at once."""
+    n = max(1, -(-rows.count() // size))
+    part = F.pmod(F.xxhash64(F.col(key)), F.lit(n))
+    return rows.groupBy(part.alias("_part")).agg(F.collect_list(F.struct(key, *columns)).alias(as_)).select(as_)
 
 
-def by_vector(v: DataFrame, text_id: int, n: int) -> DataFrame:
-    """The n vectors nearest to one, by cosine in double precision; norms are computed once a row."""
-    rows = v.withColumn("m", norm(F.col("v")))
-    target = rows.where(F.col("text_id") == text_id).select(F.col("v").alias("tv"), F.col("m").alias("tm"))
-    c = cosine(F.col("v"), F.col("tv"), F.col("m"), F.col("tm"))
-    return rows.where(F.col("text_id") != text_id).crossJoin(F.broadcast(target)).select("text_id", F.round(c, 6).alias("cosine")).orderBy(F.desc("cosine"), "text_id").limit(n)
+def by_words(texts: DataFrame, poets: DataFrame, targets: DataFrame, n: int = 10, head: int = 50, form: str = "ghazal", size: int = 2048) -> DataFrame:
+    """(target, id, title_urdu, poet_name, score): of each target the n texts of the form with the most words in common: Jaccard index of
+    the first `head` words as sets, and a bonus for the same poet; ties by id. targets: (id) of texts.
+
+    All texts are candidates. Targets and texts are held against each other in blocks of about `size` rows: within a pair of blocks, the
+    texts of each word are listed, and a target's words are counted through these lists; n of each pair go on.
+    """
+    rows = cut(texts.select("id", "poet_id", "title_urdu", "form", F.array_distinct(F.slice(words(F.col("text_urdu")), 1, head)).alias("k")).join(poets.select(F.col("id").alias("poet_id"), F.col("name").alias("poet_name")), "poet_id"))
+    asked = rows.join(targets.select("id").distinct(), "id", "left_semi")
+    pairs = _packed(asked, "id", ["k", "poet_name"], size, "t").crossJoin(_packed(rows.where(F.col("form") == form), "id", ["k", "poet_name"], size, "r"))
+
+    def of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for t, r in zip(b.column("t"), b.column("r")):
+                t, r = t.as_py(), r.as_py()
+                lists: dict[str, list[int]] = {}
+                for i, x in enumerate(r):
+                    for w in x["k"] or ():
+                        lists.setdefault(w, []).append(i)
+                where = {w: np.array(v) for w, v in lists.items()}
+                ids, sizes = np.array([x["id"] for x in r]), np.array([len(x["k"] or ()) for x in r])
+                names: dict[str | None, int] = {}
+                poet = np.array([names.setdefault(x["poet_name"], len(names)) for x in r])
+                out: list = [[], [], []]
+                for x in t:
+                    own = x["k"] or []
+                    found = [where[w] for w in own if w in where]
+                    both = np.bincount(np.concatenate(found), minlength=len(r)) if found else np.zeros(len(r), int)
+                    same = (poet == names.get(x["poet_name"], -1)) & (x["poet_name"] is not None)
+                    score = np.minimum(fixed.SHARED_WORDS * (both / np.maximum(len(own) + sizes - both, 1)) + np.where(same, fixed.SAME_POET, 0.0), 1.0)
+                    score = np.floor(score * 1000 + 0.5) / 1000
+                    best = np.lexsort((ids, -score))
+                    best = best[ids[best] != x["id"]][:n]
+                    for o, y in zip(out, ([x["id"]] * len(best), ids[best].tolist(), score[best].tolist())):
+                        o += y
+                yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.int64(), pa.float64()))], names=["target", "id", "score"])
+
+    best = first_per(pairs.mapInArrow(of, "target long, id long, score double"), ["target"], [F.desc("score"), F.col("id")], n)
+    return best.join(rows.select("id", "title_urdu", "poet_name"), "id").select("target", "id", "title_urdu", "poet_name", "score")
+
+
+def by_vectors(v: DataFrame, targets: DataFrame, n: int, size: int = 2048) -> DataFrame:
+    """(a, b, cosine): of each target the n vectors nearest to it, by cosine in double precision, ties by id. targets: (text_id); those
+    without a vector are left out. Targets and vectors are held against each other in blocks of about `size`, each pair by one matrix
+    product, and n of each pair go on."""
+    v = cut(v)
+    asked = v.join(targets.select("text_id").distinct(), "text_id", "left_semi")
+    pairs = _packed(asked, "text_id", ["v"], size, "t").crossJoin(_packed(v, "text_id", ["v"], size, "r"))
+
+    def of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for i in range(b.num_rows):
+                (ta, x), (ra, y) = ((c.field("text_id").to_numpy(), c.field("v")) for c in (b.column(k)[i].values for k in ("t", "r")))
+                x, y = (m.flatten().to_numpy(zero_copy_only=False).reshape(len(k), -1) for m, k in ((x, ta), (y, ra)))
+                c = np.round(x @ y.T / (np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1)) + 1e-8), 6)
+                c[ta[:, None] == ra[None, :]] = -9
+                best = np.lexsort((np.broadcast_to(ra, c.shape), -c), axis=1)[:, :n]
+                s = np.take_along_axis(c, best, 1)
+                ok = s > -9
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ta, ok.sum(1))), pa.array(ra[best][ok]), pa.array(s[ok])], names=["a", "b", "cosine"])
+
+    return first_per(pairs.mapInArrow(of, "a long, b long, cosine double"), ["a"], [F.desc("cosine"), F.col("b")], n).drop("rank")
 
 
 def pair_similarity(pairs: DataFrame, v: DataFrame) -> DataFrame:
@@ -60,21 +114,22 @@ def explained(pairs: DataFrame, features: DataFrame) -> DataFrame:
     j = j.withColumns(parts)
     score = F.col("semantic") + F.col("radif") + F.col("qaafiya") + F.col("theme")
     lines = [
-        F.format_string("Semantic similarity (%.2f) → %.1f%%", F.col("cosine"), F.col("semantic") * 100),
-        F.when(F.col("radif") > 0, F.format_string("Same radif '%s' → 20%%", F.col("radif_a"))).otherwise("Different radif → 0%"),
-        F.when(F.col("qaafiya") > 0, F.format_string("Qaafiya overlap (%.2f) → %.1f%%", F.col("qaafiya") / w["qaafiya"], F.col("qaafiya") * 100)).otherwise("No qaafiya overlap → 0%"),
-        F.when(F.col("theme") > 0, F.format_string("Same theme '%s' → 10%%", F.col("theme_a"))).otherwise("Different theme → 0%"),
+        F.format_string(fixed.EXPLANATIONS["semantic"], rounded(F.col("cosine"), 2), rounded(F.col("semantic") * 100, 1)),
+        F.when(F.col("radif") > 0, F.format_string(fixed.EXPLANATIONS["radif"], F.col("radif_a"))).otherwise(fixed.EXPLANATIONS["no radif"]),
+        F.when(F.col("qaafiya") > 0, F.format_string(fixed.EXPLANATIONS["qaafiya"], rounded(F.col("qaafiya") / w["qaafiya"], 2), rounded(F.col("qaafiya") * 100, 1))).otherwise(fixed.EXPLANATIONS["no qaafiya"]),
+        F.when(F.col("theme") > 0, F.format_string(fixed.EXPLANATIONS["theme"], F.col("theme_a"))).otherwise(fixed.EXPLANATIONS["no theme"]),
     ]
-    return j.select("a", "b", F.round(score, 3).alias("score"), F.round(score * 100, 2).alias("percentage"), *(F.round(c, 3).alias(c) for c in parts), F.array_join(F.array(*lines), "\n").alias("explanation"))
+    return j.select("a", "b", rounded(score, 3).alias("score"), rounded(score * 100, 2).alias("percentage"), *(rounded(F.col(c), 3).alias(c) for c in parts), F.array_join(F.array(*lines), "\n").alias("explanation"))
 
 
-def poet_by_neighbours(v: DataFrame, texts: DataFrame, poets: DataFrame, features: DataFrame, text_id: int, n: int = 3, prefilter: int = 50) -> DataFrame:
-    """The n poets whose nearest texts explain best: the mean explained score of each poet's texts among the nearest, with two examples."""
-    near = by_vector(v, text_id, prefilter).select(F.lit(text_id).cast("long").alias("a"), F.col("text_id").alias("b"), "cosine")
-    scored = explained(near, features).where("score > 0").join(texts.select(F.col("id").alias("b"), "poet_id"), "b").join(poets.select(F.col("id").alias("poet_id"), F.col("name").alias("poet_name")), "poet_id")
-    top = scored.groupBy("poet_id", "poet_name").agg(F.round(F.avg("score"), 3).alias("score")).orderBy(F.desc("score"), "poet_id").limit(n)
-    two = first_per(scored, ["poet_id"], [F.desc("score"), F.col("b")], 2).groupBy("poet_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "b"))), lambda x: x["b"].cast("string")), ",").alias("examples"))
-    return top.join(two, "poet_id")
+def poet_by_neighbours(v: DataFrame, texts: DataFrame, poets: DataFrame, features: DataFrame, targets: DataFrame, n: int = 3, prefilter: int = 50) -> DataFrame:
+    """(a, poet_id, poet_name, score, examples): of each target (text_id) the n poets whose nearest texts explain best: the mean explained
+    score of each poet's texts among the nearest, with two examples."""
+    near = by_vectors(v, targets, prefilter)
+    scored = cut(explained(near, features).where("score > 0").join(texts.select(F.col("id").alias("b"), "poet_id"), "b").join(poets.select(F.col("id").alias("poet_id"), F.col("name").alias("poet_name")), "poet_id"))
+    top = first_per(scored.groupBy("a", "poet_id", "poet_name").agg(rounded(F.avg("score"), 3).alias("score")), ["a"], [F.desc("score"), F.col("poet_id")], n).drop("rank")
+    two = first_per(scored, ["a", "poet_id"], [F.desc("score"), F.col("b")], 2).groupBy("a", "poet_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "b"))), lambda x: x["b"].cast("string")), ",").alias("examples"))
+    return top.join(two, ["a", "poet_id"])
 
 
 def centroids(v: DataFrame, key: str, width: int = WIDTH, held: int = 20_000) -> DataFrame:
@@ -121,43 +176,55 @@ def fingerprints(v: DataFrame, texts: DataFrame, features: DataFrame, n: int = 5
     return mean.join(top, "poet_id", "left").join(metre, "poet_id", "left")
 
 
-def by_fingerprint(v: DataFrame, features: DataFrame, prints: DataFrame, n: int = 3, block: int = 4096) -> DataFrame:
-    """The n poets whose fingerprints are nearest to each text (text_id, v).
+def nearest_means(rows: DataFrame, means: DataFrame, n: int, block: int = 4096, decimals: int = 6, bonus: float = 0.0, scale: float = 1.0, base: float = 0.0) -> DataFrame:
+    """(id, mean_id, score, rank): the n means nearest to each row, by scale * cosine + base, plus bonus where the row's tag is one of the
+    mean's tags; ties by mean_id. rows: (id, v) and, with a bonus, tag; means: (mean_id, centroid) and tags.
 
-    Poets are taken in blocks of `block`, of which one at a time is sent to all tasks; texts are held against a block by one matrix
-    product a batch, and only the best n of each block go on.
+    Means are taken in blocks of `block`, of which one at a time is on the driver; with more than one, rows are stored once for all.
+    A batch of rows is held against a block by one matrix product, and only the best n of each block go on.
     """
-    t = v.join(features.select("text_id", "radif"), "text_id", "left").select("text_id", "v", "radif")
-    p = prints.select("poet_id", "centroid", F.transform(F.coalesce("common_radif", F.array().cast("array<struct<radif:string,n:bigint>>")), lambda x: x["radif"]).alias("radifs")).persist()
-    blocks = max(1, -(-p.count() // block))
-    w, out = fixed.FINGERPRINT, None
+    if "tag" not in rows.columns:
+        rows = rows.withColumn("tag", F.lit(None).cast("string"))
+    if "tags" not in means.columns:
+        means = means.withColumn("tags", F.array().cast("array<string>"))
+    rows, means = rows.where("v IS NOT NULL").select("id", "v", "tag"), cut(means.select("mean_id", "centroid", "tags"))
+    blocks, out = max(1, -(-means.count() // block)), None
+    rows = cut(rows) if blocks > 1 else rows
     for k in range(blocks):
-        part = p.where(F.pmod(F.xxhash64("poet_id"), F.lit(blocks)) == k).orderBy("poet_id").collect()  # a block of poets
+        part = means.where(F.pmod(F.xxhash64("mean_id"), F.lit(blocks)) == k).orderBy("mean_id").collect()  # a block of means
         if not part:
             continue
-        shared = v.sparkSession.sparkContext.broadcast(([r.poet_id for r in part], np.array([r.centroid for r in part]), [frozenset(r.radifs) for r in part]))
+        shared = rows.sparkSession.sparkContext.broadcast((np.array([r.mean_id for r in part]), np.array([r.centroid for r in part], float), [r.tags or [] for r in part]))
 
         def of(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            poets, c, known = shared.value
+            ids, c, tags = shared.value
             by: dict[str, list[int]] = {}
-            for i, rs in enumerate(known):
-                for r in rs:
-                    by.setdefault(r, []).append(i)
-            m, ids = np.sqrt((c * c).sum(1)), np.array(poets)
+            for i, ts in enumerate(tags):
+                for t in ts:
+                    by.setdefault(t, []).append(i)
+            m = np.sqrt((c * c).sum(1))
             for b in it:
                 if not b.num_rows:
                     continue
-                x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                s = w["embedding"] * (x @ c.T / (np.sqrt((x * x).sum(1))[:, None] * m + 1e-8)) + w["vocabulary"] * 0.5
-                for i, r in enumerate(b.column("radif").to_pylist()):
-                    if r in by:
-                        s[i, by[r]] += w["radif"]
-                s = np.round(s, 6)
+                x = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+                s = scale * (x @ c.T / (np.sqrt((x * x).sum(1))[:, None] * m + 1e-8)) + base
+                for i, t in enumerate(b.column("tag").to_pylist()):
+                    if t in by:
+                        s[i, by[t]] += bonus
+                s = np.round(s, decimals)
                 top = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("text_id").to_numpy(), top.shape[1])), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel())], names=["text_id", "poet_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("id").to_numpy(), top.shape[1])), pa.array(ids[top].ravel(), pa.int64()), pa.array(np.take_along_axis(s, top, 1).ravel())], names=["id", "mean_id", "score"])
 
-        found = t.mapInArrow(of, "text_id long, poet_id long, score double")
+        found = rows.mapInArrow(of, "id long, mean_id long, score double")
         out = found if out is None else out.unionByName(found)
     if out is None:
-        out = v.select("text_id", F.lit(None).cast("long").alias("poet_id"), F.lit(0.0).alias("score")).limit(0)
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("text_id").orderBy(F.desc("score"), "poet_id"))).where(F.col("rank") <= n)
+        out = rows.select("id", F.lit(None).cast("long").alias("mean_id"), F.lit(0.0).alias("score")).limit(0)
+    return first_per(out, ["id"], [F.desc("score"), F.col("mean_id")], n)
+
+
+def by_fingerprint(v: DataFrame, features: DataFrame, prints: DataFrame, n: int = 3, block: int = 4096) -> DataFrame:
+    """(text_id, poet_id, score, rank): the n poets whose fingerprints are nearest to each text (text_id, v)."""
+    w = fixed.FINGERPRINT
+    t = v.join(features.select("text_id", "radif"), "text_id", "left").select(F.col("text_id").alias("id"), "v", F.col("radif").alias("tag"))
+    p = prints.select(F.col("poet_id").alias("mean_id"), "centroid", F.transform(F.coalesce("common_radif", F.array().cast("array<struct<radif:string,n:bigint>>")), lambda x: x["radif"]).alias("tags"))
+    return nearest_means(t, p, n, block, 6, w["radif"], w["embedding"], w["vocabulary"] * 0.5).withColumnsRenamed({"id": "text_id", "mean_id": "poet_id"})

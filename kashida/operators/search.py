@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import like, tokens, verse_text, words
-from ..functions.vectors import trigram_similarity
+from ..functions.vectors import may_share_trigrams, trigram_similarity
 from .catalogue import distinct_verses
 
 
@@ -64,13 +64,14 @@ def suggestions(texts: DataFrame, verses: DataFrame, query: str, limit: int = 10
     q = process_query(query)
     titles = texts.where(like(F.col("title_urdu"), q)).select(F.col("title_urdu").alias("suggestion"))
     lines = verses.select("misra1_urdu").where("misra1_urdu IS NOT NULL").distinct()
-    lines = lines.where(like(F.col("misra1_urdu"), q) | (trigram_similarity(F.col("misra1_urdu"), F.lit(q)) > threshold))
+    lines = lines.where(like(F.col("misra1_urdu"), q) | (may_share_trigrams(F.col("misra1_urdu"), q) & (trigram_similarity(F.col("misra1_urdu"), F.lit(q)) > threshold)))
     return titles.unionByName(lines.select(F.col("misra1_urdu").alias("suggestion"))).distinct().orderBy("suggestion").limit(limit)
 
 
 def fuzzy(verses: DataFrame, query: str, threshold: float = 0.2) -> DataFrame:
     """Distinct first lines whose trigrams are like the query, with the similarity."""
     lines = verses.select(F.col("misra1_urdu").alias("line")).where("misra1_urdu IS NOT NULL").distinct()
+    lines = lines.where(may_share_trigrams(F.col("line"), query)) if threshold >= 0 else lines
     return lines.withColumn("similarity", F.round(trigram_similarity(F.col("line"), F.lit(query)), 6)).where(F.col("similarity") > threshold)
 
 

@@ -101,8 +101,9 @@ def lengths(verses: DataFrame) -> DataFrame:
 
 def full_texts(verses: DataFrame) -> DataFrame:
     """(text_id, text): all lines of a text in order, by blanks."""
-    row = F.struct("couplet_index", F.concat(F.coalesce("misra1_urdu", F.lit("")), F.lit(" "), F.coalesce("misra2_urdu", F.lit(""))).alias("t"))
-    return verses.groupBy("text_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["t"]), " ").alias("text"))
+    from .catalogue import in_order
+
+    return in_order(verses, F.concat(F.coalesce("misra1_urdu", F.lit("")), F.lit(" "), F.coalesce("misra2_urdu", F.lit(""))), " ", "text")
 
 
 def themes(verses: DataFrame) -> DataFrame:
@@ -139,6 +140,34 @@ def outline(rows: DataFrame, text: str) -> DataFrame:
     return t.select("id", F.get("l", F.lit(0)).alias("first_line"), F.ceil(F.size("l") / 2).alias("couplets")).join(radif.withColumnRenamed("text_id", "id"), "id", "left").join(near.withColumnRenamed("text_id", "id"), "id", "left")
 
 
+def bundle(rows: DataFrame, text: str) -> DataFrame:
+    """Of every text (id, text), from its own lines: its couplets, their number, refrain and rhyme words (empty where there is none), the
+    metre by length, the pattern of the first second lines, and the first line."""
+    from ..functions.text import couplets, lines
+
+    own = rows.select("id", lines(F.col(text)).alias("l")).withColumn("verses", couplets(F.col("l")))
+    total = F.aggregate("l", F.lit(0), lambda n, x: n + F.length(x))
+    behr = F.when(F.size("verses") == 0, "unknown").otherwise(regularity(F.transform(F.slice("verses", 1, 3), lambda c: c["m2"])))
+    found = outline(rows, text).select("id", F.coalesce("radif", F.lit("")).alias("radif"), F.coalesce("rhymes", F.lit("")).alias("qafia"))
+    return own.select("id", "verses", F.size("verses").alias("verse_count"), length_class(total).alias("meter"), behr.alias("behr"), F.coalesce(F.get("l", F.lit(0)), F.lit("")).alias("first_line")).join(found, "id")
+
+
+def processed(rows: DataFrame, text: str) -> DataFrame:
+    """Of every text (id, text), with single blanks: couplets, the commonest last word of the second lines, the commonest word before
+    it (or, without a refrain, the commonest last word), and the metre by vowels a line. Line ends are kept, so that couplets are found."""
+    from ..functions.text import couplets, lines, squeeze
+
+    own = rows.select("id", F.transform(lines(F.col(text)), squeeze).alias("l")).withColumn("verses", couplets(F.col("l")))
+    v = own.select(F.col("id").alias("text_id"), F.explode("verses").alias("c")).select("text_id", F.col("c.couplet_index").alias("k"), F.col("c.m1").alias("a"), F.col("c.m2").alias("line"))
+    second = v.where("line <> ''")
+    radif = refrains(second).select("text_id", "radif")
+    near = rhyme_single(second, radif)
+    per = lambda c: F.when(F.col(c) != "", vowel_count(F.col(c), blanks=True))
+    mean = v.select("text_id", F.explode(F.array(per("a"), per("line"))).alias("n")).groupBy("text_id").agg(F.avg("n").alias("mean"))
+    out = own.select(F.col("id").alias("text_id"), "verses").join(radif, "text_id", "left").join(near, "text_id", "left").join(mean, "text_id", "left")
+    return out.select(F.col("text_id").alias("id"), "verses", "radif", "qaafiya", vowel_class(F.col("mean")).alias("beher"))
+
+
 def frequencies(features: DataFrame, n: int) -> DataFrame:
     """The n most frequent refrains with rank and share of the first in per cent; ties by refrain."""
     count = features.where("radif IS NOT NULL AND radif <> ''").groupBy(F.regexp_replace("radif", r"^\s+|\s+$", "").alias("radif")).agg(F.count("*").alias("n"))

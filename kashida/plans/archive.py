@@ -163,7 +163,7 @@ WHERE list_contains(t.w, 'دل') AND list_contains(t.w, 'خواب') ORDER BY ran
 
 
 def transliterate_query(spark: SparkSession, d: str) -> DataFrame:
-    rows = Tables(spark, d).documents.where("lang = 'ur-latn'")
+    rows = Tables(spark, d).documents
     return rows.select("doc_id", t.to_urdu(F.col("text")).alias("urdu"), t.to_urdu(F.col("text"), fold_keys=False).alias("urdu_plain_keys"))
 
 
@@ -176,7 +176,7 @@ def _urdu(table: dict[str, str]) -> str:
     return f"array_to_string([coalesce({q.lookup(_roman('w'), table)}, w) for w in {q.words('text')}], ' ')"
 
 
-SQL["transliterate_query"] = f"SELECT doc_id, {_urdu({t._fold_key(k): v for k, v in fixed.ROMAN.items()})} AS urdu, {_urdu(fixed.ROMAN)} AS urdu_plain_keys FROM documents WHERE lang = 'ur-latn'"
+SQL["transliterate_query"] = f"SELECT doc_id, {_urdu({t._fold_key(k): v for k, v in fixed.ROMAN.items()})} AS urdu, {_urdu(fixed.ROMAN)} AS urdu_plain_keys FROM documents"
 
 
 def letter_transliteration(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import verse as fv
+from ..lineage import cut
 from ..operators import catalogue, learning, likeness, verse
 from ..sources.tables import Tables, latest
 from . import sql as q
@@ -143,62 +144,64 @@ SQL["text_analysis"] = f"""SELECT a.text_id, a.radif, a.confidence AS radif_conf
 FROM ({SQL['radif_by_text']}) a LEFT JOIN ({SQL['qaafiya_by_text']}) b USING (text_id) JOIN ({SQL['theme_cascade']}) c USING (text_id) JOIN ({SQL['matla_maqta_flags']}) d USING (text_id) JOIN ({SQL['meter_pattern_by_text']}) e USING (text_id)"""
 
 
+#: Searches are asked for every text whose id is divisible by this, against all texts.
+ASKED = 20
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return Tables(spark, d).texts.where(F.col("id") % ASKED == 0).select("id")
+
+
 def keyword_similarity_topk(spark: SparkSession, d: str) -> DataFrame:
     a = Tables(spark, d)
-    return likeness.by_words(a.texts, a.poets, 2)
+    return likeness.by_words(a.texts, a.poets, _asked(spark, d))
 
 
-SQL["keyword_similarity_topk"] = f"""WITH k AS (SELECT t.id, t.title_urdu, t.form, p.name AS poet_name, list_distinct(({q.words('t.text_urdu')})[1:50]) AS k FROM texts t JOIN poets p ON p.id = t.poet_id), g AS (SELECT k AS tk, poet_name AS tp FROM k WHERE id = 2)
-SELECT id, title_urdu, poet_name, round(least(0.7 * ({q.jaccard('k', 'tk')}) + CASE WHEN poet_name = tp THEN 0.15 ELSE 0.0 END, 1.0)::DOUBLE, 3) AS score FROM k, g WHERE form = 'ghazal' AND id <> 2 ORDER BY score DESC, id LIMIT 10"""
+SQL["keyword_similarity_topk"] = f"""WITH k AS (SELECT t.id, t.title_urdu, t.form, p.name AS poet_name, list_distinct(({q.words('t.text_urdu')})[1:50]) AS k FROM texts t JOIN poets p ON p.id = t.poet_id), g AS (SELECT id AS target, k AS tk, poet_name AS tp FROM k WHERE id % 20 = 0)
+SELECT target, id, title_urdu, poet_name, round(least(0.7 * ({q.jaccard('k', 'tk')}) + CASE WHEN poet_name = tp THEN 0.15 ELSE 0.0 END, 1.0)::DOUBLE, 3) AS score FROM k, g WHERE form = 'ghazal' AND id <> target QUALIFY row_number() OVER (PARTITION BY target ORDER BY score DESC, id) <= 10"""
 
 
 def _v(spark: SparkSession, d: str) -> DataFrame:
     return likeness.vectors(Tables(spark, d).ghazal_embeddings)
 
 
-def _target(spark: SparkSession, d: str) -> int:
-    """The smallest text with a usable vector."""
-    return _v(spark, d).agg(F.min("text_id")).first()[0]
-
-
 def cosine_knn(spark: SparkSession, d: str) -> DataFrame:
-    return likeness.by_vector(_v(spark, d), _target(spark, d), 50)
+    return likeness.by_vectors(_v(spark, d), _asked(spark, d).withColumnRenamed("id", "text_id"), 50)
 
 
-_NEAR = f"{q.VECTORS}, g AS (SELECT text_id AS a, v AS tv FROM e ORDER BY text_id LIMIT 1), near AS (SELECT g.a, e.text_id AS b, round(CASE WHEN true THEN {q.cosine('e.v', 'g.tv')} END, 6) AS cosine FROM e, g WHERE e.text_id <> g.a ORDER BY cosine DESC, b LIMIT 50)"
-SQL["cosine_knn"] = f"WITH {_NEAR} SELECT b AS text_id, cosine FROM near"
+_NEAR = f"{q.VECTORS}, g AS (SELECT text_id AS a, v AS tv FROM e WHERE text_id % 20 = 0 AND text_id IN (SELECT id FROM texts)), near AS (SELECT g.a, e.text_id AS b, round(CASE WHEN true THEN {q.cosine('e.v', 'g.tv')} END, 6) AS cosine FROM e, g WHERE e.text_id <> g.a QUALIFY row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) <= 50)"
+SQL["cosine_knn"] = f"WITH {_NEAR} SELECT a, b, cosine FROM near"
 
 
 def explainable_similarity(spark: SparkSession, d: str) -> DataFrame:
-    t = _target(spark, d)
-    near = likeness.by_vector(_v(spark, d), t, 50).select(F.lit(t).cast("long").alias("a"), F.col("text_id").alias("b"), "cosine")
-    return likeness.explained(near, _features(spark, d)).drop("explanation")
+    return likeness.explained(cosine_knn(spark, d), _features(spark, d))
 
 
 _OVER = "CASE WHEN coalesce(len(fa.qaafiya), 0) = 0 OR coalesce(len(fb.qaafiya), 0) = 0 THEN 0.0 ELSE len(list_intersect(fa.qaafiya, fb.qaafiya)) / greatest(len(fa.qaafiya), len(fb.qaafiya)) END"
 _SAME = "CASE WHEN fa.{0} <> '' AND fa.{0} = fb.{0} THEN 1.0 ELSE 0.0 END"
-_EXPLAINED = f"""{_NEAR}, {q.FEATURES}, parts AS (SELECT near.a, near.b, (cosine * 0.5)::DOUBLE AS semantic, (({_SAME.format('radif')}) * 0.2)::DOUBLE AS radif, (({_OVER}) * 0.2)::DOUBLE AS qaafiya, (({_SAME.format('theme')}) * 0.1)::DOUBLE AS theme
+_EXPLAINED = f"""{_NEAR}, {q.FEATURES}, parts AS (SELECT near.a, near.b, cosine, fa.radif AS ra, fa.theme AS ta, (cosine * 0.5)::DOUBLE AS semantic, (({_SAME.format('radif')}) * 0.2)::DOUBLE AS radif, (({_OVER}) * 0.2)::DOUBLE AS qaafiya, (({_SAME.format('theme')}) * 0.1)::DOUBLE AS theme
 FROM near LEFT JOIN f fa ON fa.text_id = near.a LEFT JOIN f fb ON fb.text_id = near.b), x AS (SELECT *, semantic + radif + qaafiya + theme AS total FROM parts)"""
-SQL["explainable_similarity"] = f"WITH {_EXPLAINED} SELECT a, b, round(total, 3) AS score, round(total * 100, 2) AS percentage, round(semantic, 3) AS semantic, round(radif, 3) AS radif, round(qaafiya, 3) AS qaafiya, round(theme, 3) AS theme FROM x"
+_WHY = "concat_ws(chr(10), printf('Semantic similarity (%.2f) → %.1f%%', round(cosine, 2), round(semantic * 100, 1)), CASE WHEN radif > 0 THEN 'Same radif ' || chr(39) || ra || chr(39) || ' → 20%' ELSE 'Different radif → 0%' END, CASE WHEN qaafiya > 0 THEN printf('Qaafiya overlap (%.2f) → %.1f%%', round(qaafiya / 0.2, 2), round(qaafiya * 100, 1)) ELSE 'No qaafiya overlap → 0%' END, CASE WHEN theme > 0 THEN 'Same theme ' || chr(39) || ta || chr(39) || ' → 10%' ELSE 'Different theme → 0%' END)"
+SQL["explainable_similarity"] = f"WITH {_EXPLAINED} SELECT a, b, round(total, 3) AS score, round(total * 100, 2) AS percentage, round(semantic, 3) AS semantic, round(radif, 3) AS radif, round(qaafiya, 3) AS qaafiya, round(theme, 3) AS theme, {_WHY} AS explanation FROM x"
 
 
 def knn_attribution(spark: SparkSession, d: str) -> DataFrame:
     a = Tables(spark, d)
-    return likeness.poet_by_neighbours(_v(spark, d), a.texts, a.poets, _features(spark, d), _target(spark, d))
+    return likeness.poet_by_neighbours(_v(spark, d), a.texts, a.poets, _features(spark, d), _asked(spark, d).withColumnRenamed("id", "text_id"))
 
 
-SQL["knn_attribution"] = f"""WITH {_EXPLAINED}, s AS (SELECT t.poet_id, p.name AS poet_name, b, round(total, 3) AS score FROM x JOIN texts t ON t.id = x.b JOIN poets p ON p.id = t.poet_id WHERE round(total, 3) > 0),
-top AS (SELECT poet_id, poet_name, round(avg(score), 3) AS score FROM s GROUP BY ALL ORDER BY score DESC, poet_id LIMIT 3), two AS (SELECT poet_id, b, row_number() OVER (PARTITION BY poet_id ORDER BY score DESC, b) AS rk FROM s)
-SELECT top.poet_id, top.poet_name, top.score, string_agg(CAST(two.b AS VARCHAR), ',' ORDER BY rk) AS examples FROM top JOIN two ON two.poet_id = top.poet_id AND rk <= 2 GROUP BY ALL"""
+SQL["knn_attribution"] = f"""WITH {_EXPLAINED}, s AS (SELECT a, t.poet_id, p.name AS poet_name, b, round(total, 3) AS score FROM x JOIN texts t ON t.id = x.b JOIN poets p ON p.id = t.poet_id WHERE round(total, 3) > 0),
+m AS (SELECT a, poet_id, poet_name, round(avg(score), 3) AS score FROM s GROUP BY ALL), top AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, poet_id) <= 3), two AS (SELECT a, poet_id, b, row_number() OVER (PARTITION BY a, poet_id ORDER BY score DESC, b) AS rk FROM s)
+SELECT top.a, top.poet_id, top.poet_name, top.score, string_agg(CAST(two.b AS VARCHAR), ',' ORDER BY rk) AS examples FROM top JOIN two ON two.a = top.a AND two.poet_id = top.poet_id AND rk <= 2 GROUP BY ALL"""
 
 
 def poet_centroids(spark: SparkSession, d: str) -> DataFrame:
     own = Tables(spark, d).texts.select(F.col("id").alias("text_id"), "poet_id")
     m = likeness.centroids(_v(spark, d).join(own, "text_id"), "poet_id")
-    return m.select("poet_id", F.posexplode("centroid").alias("place", "mean")).where("place < 8").select("poet_id", F.col("place").cast("long").alias("place"), (F.floor(F.col("mean") * 1000000 + 0.5) / 1000000).alias("mean"))  # ties are frequent here, and the engines round them differently
+    return m.select("poet_id", F.posexplode("centroid").alias("place", "mean")).select("poet_id", F.col("place").cast("long").alias("place"), (F.floor(F.col("mean") * 1000000 + 0.5) / 1000000).alias("mean"))  # ties are frequent here, and the engines round them differently
 
 
-SQL["poet_centroids"] = f"WITH {q.VECTORS} SELECT t.poet_id, i - 1 AS place, floor(avg(e.v[i]) * 1000000 + 0.5) / 1000000 AS mean FROM e JOIN texts t ON t.id = e.text_id, range(1, 9) r(i) WHERE t.poet_id IS NOT NULL GROUP BY ALL"
+SQL["poet_centroids"] = f"WITH {q.VECTORS} SELECT t.poet_id, i - 1 AS place, floor(avg(e.v[i]) * 1000000 + 0.5) / 1000000 AS mean FROM e JOIN texts t ON t.id = e.text_id, range(1, 385) r(i) WHERE t.poet_id IS NOT NULL GROUP BY ALL"
 
 
 def poet_fingerprints(spark: SparkSession, d: str) -> DataFrame:
@@ -225,15 +228,16 @@ SELECT text_id, poet_id, score, CAST(row_number() OVER (PARTITION BY text_id ORD
 
 
 def feature_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """All 391 places, those of the vector to six decimals."""
     rows = learning.feature_vectors(Tables(spark, d).texts, _features(spark, d), _v(spark, d))
-    return rows.select("text_id", "poet_id", F.size("features").cast("long").alias("width"), *(F.get("features", F.lit(384 + i)).alias(f"f{384 + i}") for i in range(7)))
+    return rows.select("text_id", "poet_id", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
 
 
 def _bucket(x: str, bins: int) -> str:
     return f"(CASE WHEN coalesce({x}, '') = '' THEN 0 ELSE ('0x' || substring(md5({x}), 1, 7))::BIGINT % {bins} END)::DOUBLE"
 
 
-SQL["feature_vectors"] = f"WITH {q.FEATURES} SELECT t.id AS text_id, t.poet_id, CAST(391 AS BIGINT) AS width, {_bucket('f.radif', 100)} AS f384, " + ", ".join(f"{_bucket(f'f.qaafiya[{i}]', 100)} AS f{384 + i}" for i in (1, 2, 3)) + f", {_bucket('f.meter_name', 50)} AS f388, {_bucket('f.theme', 10)} AS f389, coalesce(len(f.qaafiya), 0)::DOUBLE AS f390 FROM texts t LEFT JOIN f ON f.text_id = t.id WHERE t.poet_id IS NOT NULL"
+SQL["feature_vectors"] = f"WITH {q.VECTORS}, {q.FEATURES} SELECT t.id AS text_id, t.poet_id, list_concat(coalesce([round(x, 6) for x in e.v], list_resize([]::DOUBLE[], 384, 0.0)), [{_bucket('f.radif', 100)}, " + ", ".join(_bucket(f"f.qaafiya[{i}]", 100) for i in (1, 2, 3)) + f", {_bucket('f.meter_name', 50)}, {_bucket('f.theme', 10)}, coalesce(len(f.qaafiya), 0)::DOUBLE]) AS features FROM texts t LEFT JOIN f ON f.text_id = t.id LEFT JOIN e ON e.text_id = t.id WHERE t.poet_id IS NOT NULL"
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -288,8 +292,8 @@ SQL["worst_labels"] = f"{_P} SELECT label, count(*) AS errors FROM p WHERE label
 
 
 def rf_train_predict(spark: SparkSession, d: str) -> DataFrame:
-    s = learning.split(_rows(spark, d), "vec_id", "label").persist()
-    model = learning.train(s.where("NOT test"), "label", "v", trees=20)
+    s = cut(learning.split(_rows(spark, d), "vec_id", "label"))
+    model = learning.train(s.where("NOT test"), "label", "v")
     return learning.predict(model, s.where("test"), "vec_id", "label", "v")
 
 

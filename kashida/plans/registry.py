@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, poetry
+from . import archive, poetry, stored
 
-_MODULES = (archive, poetry)
+_MODULES = (archive, poetry, stored)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -12,7 +12,7 @@ SCHEMAS = {
     "poetic_features": "text_id BIGINT, radif STRING, radif_confidence DOUBLE, qaafiya ARRAY<STRING>, qaafiya_pattern STRING, theme STRING, maqta_detected BOOLEAN, meter_name STRING, meter_pattern STRING, meter_confidence DOUBLE, created_at TIMESTAMP_NTZ",
     "ghazal_embeddings": "text_id BIGINT, embedding_vector ARRAY<FLOAT>, embedding_norm DOUBLE, updated_at TIMESTAMP_NTZ",
     "bulk_preview": "item_id BIGINT, batch_no BIGINT, arrived_at TIMESTAMP_NTZ, poet_id BIGINT, contributor_id BIGINT, full_text STRING, content_hash STRING, first_couplet_hash STRING, normalized_text STRING",
-    "poet_fingerprints": "poet_id BIGINT, avg_embedding ARRAY<DOUBLE>, common_radif ARRAY<STRUCT<radif: STRING, n: BIGINT>>, metres MAP<STRING, BIGINT>",
-    "poet_predictions": "text_id BIGINT, predicted_poet_id BIGINT, confidence DOUBLE, top3 ARRAY<STRUCT<poet_id: BIGINT, probability: DOUBLE>>",
+    "poet_fingerprints": "poet_id BIGINT, avg_embedding ARRAY<DOUBLE>, stylistic_features STRING, updated_at TIMESTAMP_NTZ",
+    "poet_predictions": "text_id BIGINT, predicted_poet_id BIGINT, confidence DOUBLE, top3 STRING, feature_contributions STRING, updated_at TIMESTAMP_NTZ",
     "meter_patterns": "pattern STRING, frequency BIGINT, example_text_id BIGINT",
 }

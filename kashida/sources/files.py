@@ -37,3 +37,13 @@ def spill(df: DataFrame, path: str) -> DataFrame:
     """Writes a preview as JSON lines and reads it back with its schema."""
     df.write.mode("overwrite").json(path)
     return df.sparkSession.read.schema(df.schema).json(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Stores a table as JSON lines, one file: for results of a few rows, such as measures."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """What write_json stored."""
+    return (spark.read.schema(schema) if schema else spark.read).json(path)

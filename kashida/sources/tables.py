@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from ..schema import SCHEMAS
 
 
@@ -62,9 +63,10 @@ def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
 
 
 def number(rows: DataFrame, start: int, order: list[str], key: str = "id") -> DataFrame:
-    """rows with ids from start + 1 on, in order. Ranges are numbered one by one after their sizes are known, so no task sees all rows."""
+    """rows with ids from start + 1 on, in order. Ranges are numbered one by one after their sizes are known, so no task sees all rows.
+    The ranges are stored first: drawn anew after a loss, they might differ, and ids clash."""
     spark = rows.sparkSession
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).persist()
+    parts = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
     sizes = parts.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("first")).orderBy("_part").collect()  # a row a partition
     at, table = start, []
     for r in sizes:
@@ -88,7 +90,8 @@ def get_or_create(dimension: DataFrame, facts: DataFrame, natural: list[str], ke
 
 
 def rewrite(df: DataFrame, path: str) -> None:
-    """Replaces a table by one built from it: written beside it first, so a failed job leaves the old one."""
+    """Replaces a table by one built from it: written beside it first, so a failed job leaves the old one. Between the two renames the
+    table is absent for a moment; where others read meanwhile, use store.Store, whose changes are atomic."""
     sc = df.sparkSession.sparkContext
     hadoop = sc._jvm.org.apache.hadoop.fs
     target, fresh, old = (hadoop.Path(path + x) for x in ("", ".new", ".old"))

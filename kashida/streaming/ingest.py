@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.text import couplets, lines
+from ..operators import keeping
 from ..operators.ingest import hashed
 from ..operators.verse import metres, refrains, seconds
 from ..sources.files import blocks
+from ..sources.store import Store
 
 
 def uploads(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,6 +45,17 @@ def each_batch(stream: DataFrame, store: Callable[[DataFrame, DataFrame, int], N
     return stream.writeStream.foreachBatch(run)
 
 
+def into_store(stream: DataFrame, store: Store) -> DataStreamWriter:
+    """Appends every micro-batch's new texts to a store and analyses them, by the same steps as in batch: duplicates are told from all
+    stored texts, not only from late ones. A batch that comes twice finds its texts stored, so nothing is appended anew."""
+    def run(items: DataFrame, number: int) -> None:  # noqa: ARG001
+        given = items.withColumns({c: F.lit(None).cast("long") for c in ("poet_id", "contributor_id") if c not in items.columns})
+        keeping.accept(store, given.withColumn("key", F.struct("arrived_at", "upload_id", "block")), "text", "key")
+        keeping.analyse(store)
+
+    return stream.writeStream.foreachBatch(run)
+
+
 def activity(events: DataFrame, length: str = "1 hour", slide: str | None = None, lateness: str = "10 minutes", on: str = "ts") -> DataFrame:
     """Events per window and type; windows close when the watermark passes them."""
     w = F.window(on, length, slide) if slide else F.window(on, length)

@@ -134,6 +134,39 @@ def test_explained(spark):
     assert first.split("\n") == ["Semantic similarity (0.80) → 40.0%", "Same radif 'r' → 20%", "Qaafiya overlap (0.50) → 10.0%", "Different theme → 0%"]
 
 
+def test_searches_in_blocks(spark):
+    """Every target against all rows, whatever the blocks; equal values by id."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    x = np.round(r.standard_normal((60, 5)), 1)
+    x[7] = x[3]
+    v = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)], "text_id long, v array<double>")
+    targets = spark.createDataFrame([(3,), (20,), (3,), (99,)], "text_id long")
+    n = np.sqrt((x * x).sum(1))
+    want = sorted((a, b, c) for a in (3, 20) for c, b in sorted((round(float(x[a] @ x[b] / (n[a] * n[b] + 1e-8)), 6), b) for b in range(60) if b != a) for _ in [0] if (-c, b) in sorted((-round(float(x[a] @ x[k] / (n[a] * n[k] + 1e-8)), 6), k) for k in range(60) if k != a)[:4])
+    for size in (7, 2048):
+        assert rows(likeness.by_vectors(v, targets, 4, size=size)) == sorted(want, key=repr)
+    assert rows(likeness.by_vectors(v.limit(0), targets, 4)) == rows(likeness.by_vectors(v, targets.limit(0), 4)) == []
+
+    vocabulary = "دل خواب رات چاند گل".split()
+    t = [(i, i % 3 + 1, "t", "ghazal" if i % 5 else "nazm", " ".join(r.choice(vocabulary, r.integers(0, 5)).tolist()) if i % 11 else None) for i in range(50)]
+    texts = spark.createDataFrame(t, "id long, poet_id long, title_urdu string, form string, text_urdu string")
+    poets = spark.createDataFrame([(1, "A"), (2, "B"), (3, None)], "id long, name string")
+    names = {1: "A", 2: "B", 3: None}
+    sets = {i: set((w or "").split()) for i, _, _, _, w in t}
+    poet = {i: names[p] for i, p, *_ in t}
+
+    def score(a, b):
+        j = len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
+        return int(min(1.0, 0.7 * j + (0.15 if poet[a] is not None and poet[a] == poet[b] else 0)) * 1000 + 0.5) / 1000
+
+    want = [(a, b, s) for a in (5, 6, 11) for s, b in sorted((-score(a, b), b) for b, _, _, f, _ in t if b != a and f == "ghazal")[:6]]
+    for size in (9, 2048):
+        got = likeness.by_words(texts, poets, texts.where("id IN (5, 6, 11)").select("id"), n=6, size=size)
+        assert rows(got, "target", "id", "score") == sorted([(a, b, -s) for a, b, s in want], key=repr)
+
+
 def test_centroids(spark):
     v = spark.createDataFrame([(i, i % 3 if i % 7 else None, [float(i), 1.0]) for i in range(60)], "text_id long, k long, v array<double>").repartition(4)
     want = {k: [i for i in range(60) if i % 7 and i % 3 == k] for k in range(3)}
@@ -150,6 +183,36 @@ def test_fingerprints_in_blocks(spark):
     assert [r for r in one if r[0] == 1 and r[3] == 1][0][1] == 5
 
 
+@pytest.mark.parametrize("block", [2, 4096])
+def test_nearest_means(spark, block):
+    data = spark.createDataFrame([(1, 7, [1.0, 0.1]), (2, 8, [0.0, 1.0]), (3, 9, None), (4, None, [1.0, 1.0])], "id long, label int, v array<double>")
+    means = spark.createDataFrame([(7, [2.0, 0.0]), (8, [0.0, 3.0]), (9, [1.0, 1.0]), (5, [2.0, 2.0])], "label int, centroid array<double>")
+    assert rows(learning.nearest_centroid(data, means, "id", "label", "v", block)) == [(1, 7, 7, 5, 9), (2, 8, 8, 5, 9), (3, 9, None, None, None), (4, None, 5, 9, 8)]  # the epsilon below the fraction tells 8 from 7
+    assert rows(learning.nearest_centroid(data, means.limit(0), "id", "label", "v"), "id", "predicted") == [(1, None), (2, None), (3, None), (4, None)]
+
+
+def test_rounding_is_that_of_binary_numbers(spark):
+    from kashida.functions.vectors import rounded
+
+    df = spark.createDataFrame([(4.015,), (0.125,), (2.5,), (None,)], "x double")
+    assert [r[0] for r in df.select(rounded(F.col("x"), 2)).collect()] == [4.01, 0.13, 2.5, None]
+
+
+def test_trigram_filter_keeps_all(spark):
+    from kashida.functions.vectors import may_share_trigrams, trigrams
+
+    df = spark.createDataFrame([(x,) for x in ("Dil", "a dilx", "xdil", "il d", "d", "", None, "دل میں", "di l", "ld", "DI-L1")], "s string")
+    for query in ("dil", "دل", "d", "l1", "..."):
+        share = F.size(F.array_intersect(trigrams(F.col("s")), trigrams(F.lit(query)))) > 0
+        assert all(r[0] == r[1] for r in df.select(share, may_share_trigrams(F.col("s"), query)).collect())
+
+
+def test_long_texts_are_joined_in_order(spark):
+    v = verses(spark, *((1, k, f"a{k}", None) for k in range(20, 0, -1)), (2, 1, "x", "y"))
+    assert rows(verse.full_texts(v)) == [(1, " ".join(f"a{k} " for k in range(1, 21))), (2, "x y")]
+    assert rows(catalogue.in_order(v, F.col("misra1_urdu"), "", "t", piece=3), "t") == [("".join(f"a{k}" for k in range(1, 21)),), ("x",)]
+
+
 def test_measures(spark):
     p = spark.createDataFrame([(1, 1, 2, 3), (1, 2, 1, 3), (2, 2, 1, 3), (3, 1, 2, 4)], "label int, predicted int, second int, third int")
     assert rows(learning.measures(p, "label")) == [(1, 2, 0.5, 0.5, 0.5), (2, 1, 0.5, 1.0, 0.666667), (3, 1, 0.0, 0.0, 0.0)]
