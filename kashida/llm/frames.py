@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut, shared  # noqa: F401
+
 #: Couplets in one piece of a body that only verses hold. A text of more couplets comes in several pieces, so that no task has
 #: to hold a text of any length.
 PIECE = 4096
@@ -19,29 +18,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir, or one that was set before. Where neither is, a temporary folder
-    is set if all runs on one machine, as in tests; on a cluster, whose machines could not read it, that is an error."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if base is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="kashida-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(base)
-    return base
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and stored in the shared folder."""
-    _folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A folder for written tables beside the checkpoints."""
-    return os.path.join(_folder(spark), name)
+    return shared(spark, name)
 
 
 def holds(text: Column | str) -> Column:
