@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from .frames import cut
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in links (a, b); component is the smallest id connected with it.
 
     Each round hangs the greater neighbours of a node on its smallest one (large star), then the smaller ones (small star); the number
     of rounds grows with the logarithm of a component's diameter. Minima are pre-aggregated before the shuffle, and every round is
-    written to the shared checkpoint folder. Null ends and self-links are left out. Raises RuntimeError after `most` rounds.
+    written to the shared checkpoint folder. Null ends and self-links are left out. It ends when a round
+    changes nothing.
     """
     edges = cut(links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    for _ in range(most):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -28,6 +29,4 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components: not done after {most} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()

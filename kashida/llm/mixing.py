@@ -7,6 +7,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +38,12 @@ def _encoder(path: str):  # noqa: ANN202
 
 def token_counts(documents: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
     """(doc_id, source, tokens) of documents (doc_id, text, source); null texts have none. path: a vocabulary of byte-pair ranks that
-    every executor can read."""
+    the driver can read; it is sent to the executors."""
+    documents.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _encoder(path).encode_ordinary
+        count = _encoder(SparkFiles.get(name)).encode_ordinary
         for b in it:
             n = [len(count(x)) if x else 0 for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("source"), pa.array(n, pa.int64())], names=["doc_id", "source", "tokens"])
