@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ending, letters, line_form, words
+from ..functions import fixed
+from ..functions.text import contains_any, ending, letters, line_form, words
 from ..functions.verse import length_class, metre_class, metre_pattern, regularity, theme, vowel_class, vowel_count
 from ..sources.tables import first_per
 
@@ -64,6 +65,14 @@ def rhyme_single(second: DataFrame, radif: DataFrame) -> DataFrame:
     return n.groupBy("text_id").agg(F.max_by("word", F.struct("n", -F.col("at"))).alias("qaafiya"))
 
 
+def _matla() -> Column:
+    return F.expr("coalesce(radif <> '' AND endswith(x.a, radif) AND endswith(x.b, radif), false)")
+
+
+def _maqta() -> Column:
+    return F.expr("coalesce(name <> '' AND contains(concat(y.a, ' ', y.b), name), false)")
+
+
 def openings_and_closings(verses: DataFrame, radif: DataFrame, names: DataFrame) -> DataFrame:
     """(text_id, matla, maqta): whether both lines of the first couplet end in the refrain, and whether the last couplet holds the poet's
     name. names: (text_id, name). All in one form of letters."""
@@ -71,9 +80,7 @@ def openings_and_closings(verses: DataFrame, radif: DataFrame, names: DataFrame)
     v = verses.select("text_id", "couplet_index", m(F.col("misra1_urdu")).alias("a"), m(F.col("misra2_urdu")).alias("b"))
     ends = v.groupBy("text_id").agg(F.min(F.struct("couplet_index", "a", "b")).alias("x"), F.max(F.struct("couplet_index", "a", "b")).alias("y"))
     j = ends.join(radif.select("text_id", "radif"), "text_id", "left").join(names.select("text_id", m(F.col("name")).alias("name")), "text_id", "left")
-    matla = F.expr("coalesce(radif <> '' AND endswith(x.a, radif) AND endswith(x.b, radif), false)")
-    maqta = F.expr("coalesce(name <> '' AND contains(concat(y.a, ' ', y.b), name), false)")
-    return j.select("text_id", matla.alias("matla"), maqta.alias("maqta"))
+    return j.select("text_id", _matla().alias("matla"), _maqta().alias("maqta"))
 
 
 def metres(verses: DataFrame) -> DataFrame:
@@ -108,9 +115,6 @@ def full_texts(verses: DataFrame) -> DataFrame:
 
 def themes(verses: DataFrame) -> DataFrame:
     """(text_id, theme): by the words of all lines. The lines are not put together: a theme holds if any line has one of its words."""
-    from ..functions import fixed
-    from ..functions.text import contains_any
-
     line = F.concat_ws(" ", "misra1_urdu", "misra2_urdu")
     got = verses.groupBy("text_id").agg(*(F.max(contains_any(line, keys)).alias(name) for name, keys in fixed.THEMES.items()))
     out: Column = F
@@ -120,13 +124,24 @@ def themes(verses: DataFrame) -> DataFrame:
 
 
 def analysis(texts: DataFrame, poets: DataFrame, verses: DataFrame) -> DataFrame:
-    """Features of every text that has second lines, as stored in poetic_features. verses: each couplet once."""
+    """Features of every text that has second lines, as stored in poetic_features. verses: each couplet once.
+
+    Theme, ends and first line of a text come from one aggregation; only its words are grouped beside.
+    """
     second = seconds(verses)
     radif = refrains(second)
-    names = texts.select(F.col("id").alias("text_id"), "poet_id").join(poets.select(F.col("id").alias("poet_id"), F.col("name_urdu").alias("name")), "poet_id")
-    m = metres(verses).select("text_id", F.col("name").alias("meter_name"), F.col("pattern").alias("meter_pattern"), F.col("confidence").alias("meter_confidence"))
-    ends = openings_and_closings(verses, radif, names).select("text_id", "matla", F.col("maqta").alias("maqta_detected"))
-    return radif.withColumnRenamed("confidence", "radif_confidence").join(rhymes(second, radif), "text_id", "left").join(themes(verses), "text_id").join(ends, "text_id").join(m, "text_id")
+    m = lambda c: letters(F.coalesce(c, F.lit("")))
+    ends = F.struct("couplet_index", m(F.col("misra1_urdu")).alias("a"), m(F.col("misra2_urdu")).alias("b"))
+    line = F.concat_ws(" ", "misra1_urdu", "misra2_urdu")
+    each = verses.groupBy("text_id").agg(F.min(ends).alias("x"), F.max(ends).alias("y"), F.min(F.struct("couplet_index", "misra1_urdu")).alias("v"), *(F.max(contains_any(line, keys)).alias(f"_{name}") for name, keys in fixed.THEMES.items()))
+    names = texts.select(F.col("id").alias("text_id"), "poet_id").join(poets.select(F.col("id").alias("poet_id"), m(F.col("name_urdu")).alias("name")), "poet_id").select("text_id", "name")
+    rows = radif.withColumnRenamed("confidence", "radif_confidence").join(rhymes(second, radif), "text_id", "left").join(each, "text_id").join(names, "text_id", "left")
+    theme: Column = F
+    for name in fixed.THEMES:
+        theme = theme.when(F.col(f"_{name}"), name)
+    pattern = metre_pattern(F.col("v.misra1_urdu"))
+    rows = rows.withColumn("meter_pattern", pattern).withColumn("m", metre_class(F.col("meter_pattern")))
+    return rows.select("text_id", "radif", "radif_confidence", "qaafiya", "qaafiya_pattern", theme.otherwise("general").alias("theme"), _matla().alias("matla"), _maqta().alias("maqta_detected"), F.col("m.name").alias("meter_name"), "meter_pattern", F.col("m.confidence").alias("meter_confidence"))
 
 
 def outline(rows: DataFrame, text: str) -> DataFrame:
