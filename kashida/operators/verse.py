@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.text import contains_any, ending, letters, line_form, words
 from ..functions.verse import length_class, metre_class, metre_pattern, regularity, theme, vowel_class, vowel_count
+from ..lineage import cut
 from ..sources.tables import first_per
 
 
@@ -172,7 +173,8 @@ def processed(rows: DataFrame, text: str) -> DataFrame:
     it (or, without a refrain, the commonest last word), and the metre by vowels a line. Line ends are kept, so that couplets are found."""
     from ..functions.text import couplets, lines, squeeze
 
-    own = rows.select("id", F.transform(lines(F.col(text)), squeeze).alias("l")).withColumn("verses", couplets(F.col("l")))
+    # stored once: within the functions that pair lines, they would be cut and squeezed anew for every line
+    own = cut(rows.select("id", F.transform(lines(F.col(text)), squeeze).alias("l"))).withColumn("verses", couplets(F.col("l")))
     v = own.select(F.col("id").alias("text_id"), F.explode("verses").alias("c")).select("text_id", F.col("c.couplet_index").alias("k"), F.col("c.m1").alias("a"), F.col("c.m2").alias("line"))
     second = v.where("line <> ''")
     radif = refrains(second).select("text_id", "radif")
