@@ -35,9 +35,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def rounded(x: Column, digits: int) -> Column:
-    """A double rounded as binary arithmetic does it, halves up: 4.015, which is stored a little smaller, becomes 4.01. Spark's own round
-    takes the shortest decimal spelling for the number, and gives 4.02."""
-    return F.floor(x * float(10**digits) + 0.5) / float(10**digits)
+    """A double rounded as binary arithmetic does it, halves away from zero: 4.015, which is stored a little smaller, becomes 4.01. Spark's
+    own round takes the shortest decimal spelling for the number, and gives 4.02."""
+    up = F.floor(F.abs(x) * float(10**digits) + 0.5) / float(10**digits)
+    return F.when(x < 0, -up).otherwise(up)
 
 
 def rhyme_overlap(a: Column, b: Column) -> Column:

@@ -194,8 +194,8 @@ def test_nearest_means(spark, block):
 def test_rounding_is_that_of_binary_numbers(spark):
     from kashida.functions.vectors import rounded
 
-    df = spark.createDataFrame([(4.015,), (0.125,), (2.5,), (None,)], "x double")
-    assert [r[0] for r in df.select(rounded(F.col("x"), 2)).collect()] == [4.01, 0.13, 2.5, None]
+    df = spark.createDataFrame([(4.015,), (0.125,), (2.5,), (None,), (-2.795,), (0.0,)], "x double")
+    assert [r[0] for r in df.select(rounded(F.col("x"), 2)).collect()] == [4.01, 0.13, 2.5, None, -2.8, 0.0]
 
 
 def test_trigram_filter_keeps_all(spark):
