@@ -125,6 +125,11 @@ it AS (SELECT iw.id, row_number() OVER (ORDER BY iw.id) AS k, len(w) > 0 AND (iw
 s AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS acc UNION ALL SELECT it.k, CASE WHEN it.known OR list_has_any(it.ahead, s.acc) THEN s.acc ELSE list_append(s.acc, it.id) END FROM s JOIN it ON it.k = s.k + 1)
 SELECT id AS item_id FROM it WHERE NOT list_contains((SELECT acc FROM s ORDER BY k DESC LIMIT 1), id)"""
 
+_DIAGONALS = f"""WITH {MAPS}, d AS (SELECT doc_id, regexp_extract_all(lower({_fold('text')}), {WORDS}) AS w FROM documents, full_map), i AS (SELECT item_id, regexp_extract_all(lower({_fold('text')}), {WORDS}) AS w FROM eval_items, full_map),
+dp AS (SELECT doc_id, len(w) AS nd, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS p FROM d), ip AS (SELECT item_id, len(w) AS n, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS p FROM i),
+g AS (SELECT doc_id, item_id, dp.p - ip.p AS shift, any_value(nd) AS nd, any_value(n) AS n, list(ip.p) AS ps FROM dp JOIN ip USING (w) GROUP BY ALL HAVING 20 * count(*) >= 9 * any_value(n)),
+"""
+
 SQL = {
     "p1_found": _ITEMS,
     "p1_batches": _ITEMS,
@@ -151,10 +156,11 @@ SELECT m.id AS text_id, coalesce(c.class_id, m.rep) AS class_id, coalesce(k.link
     "p5_found": f"{_TERMS} SELECT field_name, term, 'rare' AS mark FROM c WHERE held <= 2 UNION ALL SELECT field_name, term, 'common' FROM c JOIN n USING (field_name) WHERE held >= share * total",
     "p6_found": f"{_NEAR} SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM k",
     # a stretch from one equal word to another may take in changed words at its ends, as far as nine in ten stay equal
-    "p8_found": f"""WITH {MAPS}, d AS (SELECT doc_id, regexp_extract_all(lower({_fold('text')}), {WORDS}) AS w FROM documents, full_map), i AS (SELECT item_id, regexp_extract_all(lower({_fold('text')}), {WORDS}) AS w FROM eval_items, full_map),
-dp AS (SELECT doc_id, len(w) AS nd, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS p FROM d), ip AS (SELECT item_id, len(w) AS n, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS p FROM i),
-g AS (SELECT doc_id, item_id, dp.p - ip.p AS shift, any_value(nd) AS nd, any_value(n) AS n, list(ip.p) AS ps FROM dp JOIN ip USING (w) GROUP BY ALL HAVING 20 * count(*) >= 9 * any_value(n)),
-m AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY p) AS k FROM (SELECT doc_id, item_id, shift, nd, n, unnest(ps) AS p FROM g)),
+    "p8_found": f"""{_DIAGONALS}m AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY p) AS k FROM (SELECT doc_id, item_id, shift, nd, n, unnest(ps) AS p FROM g)),
 r AS (SELECT a.doc_id, a.item_id, a.n, b.p - a.p + 1 AS span, least(least(a.n, a.nd - a.shift) - greatest(1, 1 - a.shift) + 1, 10 * (b.k - a.k + 1) // 9) AS most FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND a.shift = b.shift AND a.p <= b.p)
 SELECT DISTINCT doc_id, item_id FROM r WHERE most >= span AND 2 * most >= n""",
+    # every stretch of a diagonal; of those long enough the longest, then the first
+    "p8_spans": f"""{_DIAGONALS}h AS (SELECT doc_id, item_id, shift, n, greatest(1, 1 - shift) AS lo, least(n, nd - shift) AS hi, [len([x for x in ps if x <= k]) for k in range(0, n + 1)] AS c FROM g),
+a AS (SELECT *, unnest(range(lo, hi + 1)) AS a FROM h), b AS (SELECT *, unnest(range(a + (n + 1) // 2 - 1, hi + 1)) AS b FROM a), s AS (SELECT doc_id, item_id, n, a + shift - 1 AS first, b + shift AS last FROM b WHERE 10 * (b - a + 1 - c[b + 1] + c[a]) <= b - a + 1)
+SELECT doc_id, item_id, CAST(first AS INTEGER) AS "begin", CAST(last AS INTEGER) AS "end", CAST(n AS INTEGER) AS item_words, round((last - first) / n, 6) AS share FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY last - first DESC, first) = 1""",
 }
