@@ -36,9 +36,12 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def rounded(x: Column, digits: int) -> Column:
     """A double rounded as binary arithmetic does it, halves away from zero: 4.015, which is stored a little smaller, becomes 4.01. Spark's
-    own round takes the shortest decimal spelling for the number, and gives 4.02."""
-    up = F.floor(F.abs(x) * float(10**digits) + 0.5) / float(10**digits)
-    return F.when(x < 0, -up).otherwise(up)
+    own round takes the shortest decimal spelling for the number, and gives 4.02. The sign of zero stays, and what is not finite or too
+    large to be scaled."""
+    scaled = x * float(10**digits)
+    near = F.rint(scaled)
+    near = F.when(F.abs(scaled - near) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(near) / float(10**digits)
+    return F.when(F.abs(near) < float("inf"), near).otherwise(x)
 
 
 def rhyme_overlap(a: Column, b: Column) -> Column:

@@ -21,8 +21,12 @@ WIDTH = 384
 
 
 def vectors(embeddings: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(text_id, v): the latest vector of each text, in double precision, if it is of that width and finite."""
-    v = latest(embeddings.select("text_id", "embedding_vector", "updated_at"), ["text_id"], ["updated_at"])
+    """(text_id, v): the latest vector of each text, in double precision, if it is of that width and finite. Of equal versions the greatest
+    vector, a missing place above any number: it is compared as NaN, which is as little finite."""
+    nan = F.lit(float("nan")).cast(embeddings.schema["embedding_vector"].dataType.elementType)
+    full = F.array_contains("embedding_vector", nan) == F.lit(False)  # null where a place is
+    filled = F.when(full, F.col("embedding_vector")).otherwise(F.transform("embedding_vector", lambda x: F.coalesce(x, nan)))
+    v = latest(embeddings.select("text_id", filled.alias("embedding_vector"), "updated_at"), ["text_id"], ["updated_at"])
     fine = F.expr(f"size(embedding_vector) = {width} AND forall(embedding_vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))")
     return v.where("embedding_vector IS NOT NULL").where(fine).select("text_id", F.col("embedding_vector").cast("array<double>").alias("v"))
 

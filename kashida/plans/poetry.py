@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import verse as fv
+from ..functions.vectors import rounded
 from ..lineage import cut
 from ..operators import catalogue, learning, likeness, verse
 from ..sources.tables import Tables, latest
@@ -20,7 +21,10 @@ def _verses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    return latest(Tables(spark, d).poetic_features, ["text_id"], ["created_at"])
+    """The latest features of each text. Equal versions are compared as in the SQL, lists of rhyme words by their joined words."""
+    joined = F.when((F.size("qaafiya") == 0) | F.exists("qaafiya", F.isnotnull), F.array_join("qaafiya", ","))
+    order = ["created_at", "radif", "radif_confidence", "_joined", "qaafiya_pattern", "theme", "maqta_detected", "meter_name", "meter_pattern", "meter_confidence"]
+    return latest(Tables(spark, d).poetic_features.withColumn("_joined", joined), ["text_id"], order).drop("_joined")
 
 
 def radif_by_text(spark: SparkSession, d: str) -> DataFrame:
@@ -230,7 +234,7 @@ SELECT text_id, poet_id, score, CAST(row_number() OVER (PARTITION BY text_id ORD
 def feature_vectors(spark: SparkSession, d: str) -> DataFrame:
     """All 391 places, those of the vector to six decimals."""
     rows = learning.feature_vectors(Tables(spark, d).texts, _features(spark, d), _v(spark, d))
-    return rows.select("text_id", "poet_id", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+    return rows.select("text_id", "poet_id", F.transform("features", lambda x: rounded(x, 6)).alias("features"))
 
 
 def _bucket(x: str, bins: int) -> str:

@@ -198,6 +198,15 @@ def test_rounding_is_that_of_binary_numbers(spark):
     assert [r[0] for r in df.select(rounded(F.col("x"), 2)).collect()] == [4.01, 0.13, 2.5, None, -2.8, 0.0]
 
 
+def test_rounding_keeps_the_sign_of_zero_and_large_numbers(spark):
+    from kashida.functions.vectors import rounded
+
+    inf = float("inf")
+    x = [-0.0, 0.0, -1e-9, 1e-9, -5e-7, 5e-7, 0.0078125, -0.0078125, 3e38, -3e38, 1e308, inf, -inf, float("nan"), None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double")
+    assert list(map(repr, (r.y for r in df.select("i", rounded(F.col("x"), 6).alias("y")).orderBy("i").collect()))) == list(map(repr, [-0.0, 0.0, -0.0, 0.0, -1e-6, 1e-6, 0.007813, -0.007813, 3e38, -3e38, 1e308, inf, -inf, float("nan"), None]))
+
+
 def test_trigram_filter_keeps_all(spark):
     from kashida.functions.vectors import may_share_trigrams, trigrams
 
